@@ -27,9 +27,12 @@ PARAMS = {
     "min_words": 50,  # the base rule's floor
     "char_min": 200,  # code points below which the character histogram is not judged
     "word_min": 80,  # words below which the common-word histogram is not judged
-    "char_limit": 0.17,  # largest Jensen-Shannon distance (0 to 1) of the character classes
-    "word_limit": 0.42,  # and of the common words, plus word_noise / sqrt(words)
-    "word_noise": 2.2,
+    "typical_chars": 0.25,  # documents farther than this from the sum of all are left out of the references
+    "typical_words": 0.3,
+    "char_limit": 0.1,  # largest Jensen-Shannon distance (0 to 1) of the character classes, plus char_noise / sqrt(code points)
+    "char_noise": 1.5,
+    "word_limit": 0.1,  # and of the common words, plus word_noise / sqrt(words)
+    "word_noise": 2.0,
     "reference_min": 10_000,  # words that a language needs for a reference of its own; else all documents together serve
 }
 
@@ -135,6 +138,15 @@ def references(hists: DataFrame, bins: int, reference_min: int) -> DataFrame:
     return ref.select(F.col("_lang").alias("_ref"), pack("chars", len(CLASSES)).alias("ref_chars"), F.when(F.col("_lang").isNotNull(), pack("common", bins)).alias("ref_words"))
 
 
+def distances(hists: DataFrame, refs: DataFrame) -> DataFrame:
+    """``hists`` with js_chars and js_words, the distances from the references of each row's language."""
+    # one row for each language that holds reference_min words: never more than words / reference_min rows
+    own = refs.where("_ref IS NOT NULL")
+    every = refs.where("_ref IS NULL").select(F.col("ref_chars").alias("all_chars"))
+    joined = hists.join(own, F.col("_lang") == F.col("_ref"), "left").crossJoin(F.broadcast(every))  # ``every`` is one row
+    return joined.select(*hists.columns, js_distance(F.col("chars"), F.coalesce("ref_chars", "all_chars")).alias("js_chars"), js_distance(F.col("common"), F.col("ref_words")).alias("js_words"))
+
+
 def judge(docs: DataFrame, params: dict | None = None, common: dict[str, list[str]] | None = None, id_col: str = "doc_id") -> DataFrame:
     """(id, counts, base_failed, js_chars, js_words, kept), a row for each row of ``docs``.
 
@@ -150,18 +162,12 @@ def judge(docs: DataFrame, params: dict | None = None, common: dict[str, list[st
     t, w = F.col("_text"), F.col("_words")
     hists = split.select("doc_id", "_lang", *[c.alias(k) for k, c in base_counts(t, w).items()], class_counts(t, w).alias("chars"), common_counts(t, w, F.col("_lang"), common).alias("common"), F.length(t).alias("n_chars"))
     hists = stored(hists, "quality")  # some forty numbers a document: the texts are read once
-    refs = references(hists, bins, p["reference_min"])
-    # one row for each language that holds reference_min words: never more than words / reference_min rows
-    own = refs.where("_ref IS NOT NULL")
-    every = refs.where("_ref IS NULL").select(F.col("ref_chars").alias("all_chars"))
-    joined = hists.join(own, F.col("_lang") == F.col("_ref"), "left").crossJoin(F.broadcast(every))  # ``every`` is one row
-    joined = joined.select(
-        "*",
-        js_distance(F.col("chars"), F.coalesce("ref_chars", "all_chars")).alias("js_chars"),
-        js_distance(F.col("common"), F.col("ref_words")).alias("js_words"),
-    )
+    first = distances(hists.where("n_words > 0"), references(hists, bins, p["reference_min"]))
+    # documents far from everything else would pull the references towards themselves
+    typical = first.where((F.col("js_chars") <= p["typical_chars"]) & F.coalesce(F.col("js_words") <= p["typical_words"], F.lit(True)))
+    joined = distances(hists, references(typical.select(hists.columns), bins, p["reference_min"]))
     base_failed = (F.col("n_words") < p["min_words"]) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    far_chars = (F.col("n_chars") >= p["char_min"]) & (F.col("js_chars") > p["char_limit"])
+    far_chars = (F.col("n_chars") >= p["char_min"]) & (F.col("js_chars") > p["char_limit"] + p["char_noise"] / F.sqrt("n_chars"))
     far_words = (F.col("n_words") >= p["word_min"]) & (F.col("js_words") > p["word_limit"] + p["word_noise"] / F.sqrt("n_words"))
     no = F.lit(False)
     return joined.select(

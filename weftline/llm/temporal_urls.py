@@ -77,7 +77,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     captures = captures.drop(*[c for c in verdict if c in captures.columns])
     active = intervals(entries)
     asked = captures.select(F.col(url).alias("_url"), F.col(fetched_at).cast("long").alias("_at")).withColumn("_host", host_of(F.col("_url")))
-    exploded = asked.select("_url", "_at", F.explode(keys_of(F.col("_url"))).alias("_key")).select("_url", "_at", F.col("_key.scope").alias("_scope"), F.col("_key.value").alias("_value"))
+    exploded = asked.select("_url", "_at", F.explode_outer(keys_of(F.col("_url"))).alias("_key")).select("_url", "_at", F.col("_key.scope").alias("_scope"), F.col("_key.value").alias("_value"))
     small = active.limit(broadcast_rows + 1).count() <= broadcast_rows
     during = (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to")))
     same = (F.col("_scope") == F.col("scope")) & (F.lower("_value") == F.col("value"))
