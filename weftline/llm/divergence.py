@@ -29,8 +29,8 @@ PARAMS = {
     "word_min": 80,  # words below which the common-word histogram is not judged
     "typical_chars": 0.25,  # documents farther than this from the sum of all are left out of the references
     "typical_words": 0.3,
-    "char_limit": 0.1,  # largest Jensen-Shannon distance (0 to 1) of the character classes, plus char_noise / sqrt(code points)
-    "char_noise": 1.5,
+    "char_limit": 0.12,  # largest Jensen-Shannon distance (0 to 1) of the character classes, plus char_noise / sqrt(code points)
+    "char_noise": 1.6,
     "word_limit": 0.1,  # and of the common words, plus word_noise / sqrt(words)
     "word_noise": 2.0,
     "reference_min": 10_000,  # words that a language needs for a reference of its own; else all documents together serve
