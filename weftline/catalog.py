@@ -366,7 +366,7 @@ def q42(spark: SparkSession, d: str) -> DataFrame:
 @query("q43_dc_sort_sum", "SELECT CAST(sum(i * i) AS BIGINT) AS result FROM range(4096) AS t(i)")
 def q43(spark: SparkSession, d: str) -> DataFrame:
     """Sums of squares over ranges [lo, hi) that are halved down to 64 numbers."""
-    ops = spark.range(1).select(F.lit(4096).cast("bigint").alias("op"))
+    ops = spark.createDataFrame([(4096,)], "op bigint")
     lo, hi = F.floor(F.col("op") / (1 << 20)), F.col("op") % (1 << 20)  # a range is one number, lo * 2^20 + hi
     mid = F.floor((lo + hi) / 2)
     total = lambda x: F.aggregate(x, F.lit(0).cast("bigint"), lambda a, b: a + b)
