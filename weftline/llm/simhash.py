@@ -28,6 +28,7 @@ _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder=
 #: Pairs of byte positions that a posting leaves out.
 _FREE = list(combinations(range(8), 2))
 _SMALL = 48
+_FP = "_fingerprint_of_row"
 _CHUNK = 1 << 18
 
 
@@ -189,22 +190,23 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n")).select(F.col("doc_id").alias("_keep"))
     named = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id IS NULL")
-    lone = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
-    marked = _with_fp(nameless).join(lone, "fp", "left_semi").dropDuplicates(["fp"]).drop("fp") if not nameless.isEmpty() else None
-    return named if marked is None else named.unionByName(marked)
+    if nameless.isEmpty():
+        return named
+    lone = found.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias(_FP)).distinct()
+    return named.unionByName(_with_fp(nameless).join(lone, _FP, "left_semi").dropDuplicates([_FP]).drop(_FP))
 
 
 def _with_fp(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``fp``, all other columns carried along."""
+    """``docs`` with the fingerprint in the column _FP, all other columns carried along."""
     names = docs.columns
     packed = docs.select(F.col("text").cast("string").alias("t"), F.struct(*names).alias("r"))
-    schema = packed.select("r").schema.add("fp", "long")
+    schema = packed.select("r").schema.add(_FP, "long")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.fromiter((fingerprint(t) for t in texts(batch.column(0))), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(fps.view(np.int64))], ["r", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(fps.view(np.int64))], ["r", _FP])
 
-    return arrow_map(packed, run, schema).select("r.*", "fp")
+    return arrow_map(packed, run, schema).select("r.*", _FP)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
