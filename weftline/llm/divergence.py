@@ -22,6 +22,8 @@ COMMON = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por", "un", "para", "con", "no"],
     "": ["the", "de", "la", "and", "der", "en", "of", "die", "le", "und", "que", "to", "et", "in", "a", "un"],
 }
+#: Languages up to this number (a hundred numbers each) are broadcast with their references.
+BROADCAST_LANGUAGES = 10_000
 CLASSES = ("upper", "digit", "stop", "inner", "symbol", "space", "accent", "other")
 PARAMS = {
     "min_words": 50,  # the base rule's floor
@@ -140,8 +142,10 @@ def references(hists: DataFrame, bins: int, reference_min: int) -> DataFrame:
 
 def distances(hists: DataFrame, refs: DataFrame) -> DataFrame:
     """``hists`` with js_chars and js_words, the distances from the references of each row's language."""
-    # one row for each language that holds reference_min words: never more than words / reference_min rows
+    refs = stored(refs, "references")
     own = refs.where("_ref IS NOT NULL")
+    if own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:  # else one language's rows meet in the tasks of a join
+        own = F.broadcast(own)
     every = refs.where("_ref IS NULL").select(F.col("ref_chars").alias("all_chars"))
     joined = hists.join(own, F.col("_lang") == F.col("_ref"), "left").crossJoin(F.broadcast(every))  # ``every`` is one row
     return joined.select(*hists.columns, js_distance(F.col("chars"), F.coalesce("ref_chars", "all_chars")).alias("js_chars"), js_distance(F.col("common"), F.col("ref_words")).alias("js_words"))
