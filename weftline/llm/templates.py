@@ -44,11 +44,15 @@ def slot_of(word: Column) -> Column:
     return F.when((first >= "0") & (first <= "9"), F.lit("#")).when(first == NAME, F.lit("@")).when(first == UNIT, F.lit("%")).otherwise(word)
 
 
-def window_hashes(words: Column, window: int) -> Column:
-    """A hash for each run of ``window`` template words, in order; none where the text is shorter."""
+def windows_of(words: Column, window: int) -> Column:
+    """(hash, words) for each run of ``window`` template words, in order; none where the text is shorter.
+
+    Each window brings its own words, joined, so that no row of the explosion that follows has to carry the whole text.
+    """
     hashed = F.transform(words, lambda w: F.xxhash64(slot_of(w)))
-    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda k: F.xxhash64(F.slice(h, k, window)))
-    return let(hashed, lambda h: F.when(F.size(h) >= window, runs(h)).otherwise(F.array().cast("array<bigint>")))
+    one = lambda h, k: F.struct(F.xxhash64(F.slice(h, k, window)).alias("hash"), F.array_join(F.slice(words, k, window), " ").alias("words"))
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda k: one(h, k))
+    return let(hashed, lambda h: F.when(F.size(h) >= window, runs(h)))
 
 
 def item_windows(items: DataFrame, p: dict) -> DataFrame:
@@ -56,8 +60,8 @@ def item_windows(items: DataFrame, p: dict) -> DataFrame:
     w = p["window"]
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text").cast("string")).alias("_words")).where(F.size("_words") >= w).distinct()
     # a bare row number of no meaning keeps items apart that share an id
-    rows = rows.select("item_id", "_words", F.xxhash64("_words").alias("item_key"), F.posexplode_outer(window_hashes(F.col("_words"), w)).alias("at", "hash"))
-    rows = rows.withColumn("item_words", F.slice("_words", F.col("at") + 1, w)).drop("_words")
+    rows = rows.select("item_id", "_words", F.xxhash64("_words").alias("item_key"), F.posexplode_outer(windows_of(F.col("_words"), w)).alias("at", "_window"))
+    rows = rows.select("item_id", "item_key", "at", F.col("_window.hash").alias("hash"), F.split("_window.words", " ").alias("item_words"))
     rows = rows.where(F.size(F.filter("item_words", lambda x: ~slot_of(x).isin("#", "@", "%"))) >= p["literals"])
     n = rows.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
     return rows.join(n.withColumnRenamed("item_id", "_i").withColumnRenamed("item_key", "_k"), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_key") == F.col("_k"))).drop("_i", "_k")
@@ -75,12 +79,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
     items = item_windows(benchmark, p)
     small = items.limit(broadcast_windows + 1).count() <= broadcast_windows
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), template_words(F.col(text_col).cast("string")).alias("_words"))
-    hashes = words.select("doc_id", "_words", window_hashes(F.col("_words"), p["window"]).alias("_hashes"))
     # the outer form, as the plain one would have the optimiser test and so compute the array twice
-    windows = hashes.select("doc_id", "_words", F.posexplode_outer("_hashes").alias("place", "_hash"))
-    # the words of a window are cut out only where it is matched
+    windows = words.select("doc_id", F.posexplode_outer(windows_of(F.col("_words"), p["window"])).alias("place", "_window"))
+    windows = windows.select("doc_id", "place", F.col("_window.hash").alias("_hash"), F.col("_window.words").alias("_joined"))
     met = windows.join(F.broadcast(items) if small else items, F.col("_hash") == F.col("hash"))
-    met = met.select("doc_id", "item_id", "item_key", "n_windows", "at", "place", "item_words", F.slice("_words", F.col("place") + 1, p["window"]).alias("doc_words"))
+    met = met.select("doc_id", "item_id", "item_key", "n_windows", "at", "place", "item_words", F.split("_joined", " ").alias("doc_words"))
     met = met.where(F.forall(F.zip_with("item_words", "doc_words", lambda a, b: slot_of(a) == slot_of(b)), lambda same: same))
     slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda z: slot_of(z["item_words"]).isin("#", "@", "%"))
     on = ["doc_id", "item_id", "item_key", "n_windows", "diagonal"]
