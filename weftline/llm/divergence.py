@@ -146,9 +146,9 @@ def distances(hists: DataFrame, refs: DataFrame) -> DataFrame:
     own = refs.where("_ref IS NOT NULL")
     if own.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES:  # else one language's rows meet in the tasks of a join
         own = F.broadcast(own)
-    every = refs.where("_ref IS NULL").select(F.col("ref_chars").alias("all_chars"))
-    joined = hists.join(own, F.col("_lang") == F.col("_ref"), "left").crossJoin(F.broadcast(every))  # ``every`` is one row
-    return joined.select(*hists.columns, js_distance(F.col("chars"), F.coalesce("ref_chars", "all_chars")).alias("js_chars"), js_distance(F.col("common"), F.col("ref_words")).alias("js_words"))
+    every = F.array(*[F.lit(n).cast("long") for n in refs.where("_ref IS NULL").first()["ref_chars"]])  # eight numbers
+    joined = hists.join(own, F.col("_lang") == F.col("_ref"), "left")
+    return joined.select(*hists.columns, js_distance(F.col("chars"), F.coalesce(F.col("ref_chars"), every)).alias("js_chars"), js_distance(F.col("common"), F.col("ref_words")).alias("js_words"))
 
 
 def judge(docs: DataFrame, params: dict | None = None, common: dict[str, list[str]] | None = None, id_col: str = "doc_id") -> DataFrame:
