@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
-import html
 import math
 import random
 import re
 import zlib
-from itertools import groupby
 
 import duckdb
 import numpy as np
@@ -103,8 +101,6 @@ def test_shards_follow_the_key_and_slots_have_no_gaps(docs):
         by_id[r.doc_id].add((r.shard, r.grown_shard))
         assert r.grown_shard in (r.shard, hash_tree.SHARDS)
     assert all(len(x) == 1 for x in by_id.values())
-    for _, part in groupby(sorted(got, key=lambda r: (r.shard, r.slot)), key=lambda r: r.shard):
-        assert [r.slot for r in part] == list(range(len(list(part)))) or True
     slots = collections.defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
@@ -501,4 +497,4 @@ def test_url_query_matches_sql(spark):
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
     got, want = temporal_urls.op5_temporal_urls(spark, folder).toPandas(), con.sql(temporal_urls.OP5_SQL).df()
     key = lambda f: sorted(str([None if v != v or v is None else (int(v) if isinstance(v, float) else v) for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
-    assert key(got) == key(want) and html
+    assert key(got) == key(want)
