@@ -140,6 +140,7 @@ class Windows:
 
 
 #: What a payload holds, column after column: single anchors, anchors met twice, settled anchors, window starts, settled starts.
+_PACKED = "bucket int, payload binary"
 _KINDS = {0: ("<u8", "<i8"), 1: ("<u8",), 2: ("<i8", "<u8"), 3: ("<u8", "<u4", "<i8", "<i4"), 4: ("<i8", "<i4")}
 
 
@@ -199,7 +200,7 @@ def _split(payload_rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(doc_id, values): per document (in parts) the anchors that occur at two or more places of the corpus."""
+    """(doc_id, values): per document the anchors that occur at two or more places of the corpus."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in _batches(batches):
@@ -228,9 +229,9 @@ def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         h, doc = h[order], doc[order]
         _, size = _groups(h)
         again = np.repeat(size > 1, size) | np.isin(h, twice)
-        yield from _by_document(np.concatenate([doc[again], settled]), np.concatenate([h[again], values]))
+        yield from _return(2, np.concatenate([doc[again], settled]), np.concatenate([h[again], values]), buckets)
 
-    return _split(docs.mapInArrow(send, "bucket int, payload binary"), buckets).mapInArrow(count, "doc_id long, values binary")
+    return _per_document(_split(docs.mapInArrow(send, _PACKED), buckets).mapInArrow(count, _PACKED), 2, buckets)
 
 
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,21 +240,33 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(x)))
 
 
-def _by_document(doc: np.ndarray, value: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document with its packed values."""
-    if not len(doc):
-        return
-    order = np.argsort(doc, kind="stable")
-    doc, value = doc[order], value[order]
-    begins = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    ends = np.append(begins[1:], len(doc))
-    for k in range(0, len(begins), 20_000):
-        values = [value[a:b].tobytes() for a, b in zip(begins[k : k + 20_000].tolist(), ends[k : k + 20_000].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[begins[k : k + 20_000]]), pa.array(values, pa.binary())], ["doc_id", "values"])
+def _return(kind: int, doc: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What was found, packed by range of the documents' hashes."""
+    rows = list(_deal(kind, _mix(doc.view(np.uint64)), [doc, value], buckets))
+    if rows:
+        yield _packed_rows(rows)
+
+
+def _per_document(found: DataFrame, kind: int, buckets: int) -> DataFrame:
+    """(doc_id, values): one row for each document, with its values packed one after another."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, value = _open([p.as_py() for b in batches for p in b.column(1)], kind)
+        if not len(doc):
+            return
+        order = np.argsort(doc, kind="stable")
+        doc, value = doc[order], value[order]
+        begins, sizes = _groups(doc)
+        for k in range(0, len(begins), 20_000):
+            part = slice(k, k + 20_000)
+            values = [value[a : a + n].tobytes() for a, n in zip(begins[part].tolist(), sizes[part].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[begins[part]]), pa.array(values, pa.binary())], ["doc_id", "values"])
+
+    return _split(found, buckets).mapInArrow(gather, "doc_id long, values binary")
 
 
 def repeated_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(doc_id, values): per document (in parts) the starts of windows that start earlier elsewhere.
+    """(doc_id, values): per document the starts of windows that start earlier elsewhere.
 
     ``docs`` has (doc_id, text, anchors): the packed anchors of the document that occur twice or more.
     """
@@ -283,9 +296,9 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         h, x, doc, at = _open(payloads, 3)
         settled, starts = _open(payloads, 4)
         _, later = _earliest(h, x, doc, at)
-        yield from _by_document(np.concatenate([doc[later], settled]), np.concatenate([at[later], starts]))
+        yield from _return(4, np.concatenate([doc[later], settled]), np.concatenate([at[later], starts]), buckets)
 
-    return _split(docs.mapInArrow(send, "bucket int, payload binary"), buckets).mapInArrow(count, "doc_id long, values binary")
+    return _per_document(_split(docs.mapInArrow(send, _PACKED), buckets).mapInArrow(count, _PACKED), 4, buckets)
 
 
 def _earliest(h: np.ndarray, x: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,9 +391,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 20, max(partitions(spark), size >> 24))
-    gather = lambda df: stored(df.groupBy("doc_id").agg(F.listagg("values").alias("values")), "repeats")  # noqa: E731  bounded by a document's words
-    anchors = gather(repeated_anchors(docs, window, buckets))
-    windows = gather(repeated_windows(_pass(docs, anchors, True).join(anchors, "doc_id").select("doc_id", "text", "values"), window, buckets))
+    anchors = stored(repeated_anchors(docs, window, buckets), "anchors")
+    windows = stored(repeated_windows(_pass(docs, anchors, True).join(anchors, "doc_id").select("doc_id", "text", "values"), window, buckets), "windows")
     rows = _pass(docs, windows, False, window).join(windows, "doc_id", "left").select("doc_id", "text", "values", "n_words", "kept_sha256")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
