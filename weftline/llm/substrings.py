@@ -30,8 +30,8 @@ from weftline.llm.common import partitions, read_table, stored
 
 WINDOW = 20
 #: Bytes of text that are hashed at a time, and words whose windows are.
-_SEGMENT = 1 << 22
-_RUN = 1 << 20
+_SEGMENT = 1 << 20
+_RUN = 1 << 19
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bits of the filter of document ids: eight MB at most, whatever the input; beyond, more rows pass it in vain.
 _FILTER_BITS = 1 << 26
@@ -172,7 +172,7 @@ def _packed_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.binary())], ["bucket", "payload"])
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 12_000_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(document ids, texts) in runs of about ``most`` bytes; null ids sort after all others."""
     from weftline.llm.tokens import slices
 
@@ -312,7 +312,7 @@ def _earliest(h: np.ndarray, x: np.ndarray, doc: np.ndarray, at: np.ndarray) ->
     return order[new], order[(doc != doc[first]) | (at != at[first])]
 
 
-def _with_values(batch: pa.RecordBatch, most: int = 12_000_000) -> Iterator[tuple[np.ndarray, pa.Array, list[bytes]]]:
+def _with_values(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[np.ndarray, pa.Array, list[bytes]]]:
     from weftline.llm.tokens import slices
 
     for begin, end in slices(batch.column(1), most):
