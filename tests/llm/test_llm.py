@@ -78,7 +78,7 @@ def test_templates_find_copies_and_other_parameters(spark):
     items = spark.createDataFrame([(1, item, "x"), (2, None, "x"), (3, "short", None), (4, "one two three four five six seven eight", "")], BENCH)
     rows = [(1, other), (2, f"{item} {item}"), (3, None), (4, "has apples and buys rope"), (5, mixed), (6, "a " * 5000 + "one two three four five six seven eight"), (1, other), (None, item)]
     for limit in (300_000, 0):
-        got = {(r.doc_id, r.item_id): r for r in templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items, {"consistency": 0.95}, broadcast_windows=limit).collect()}
+        got = {(r.doc_id, r.item_id): r for r in templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items, {"consistency": 0.95}, broadcast_rows=limit).collect()}
         assert set(got) == {(1, 1), (2, 1), (6, 4), (None, 1)}
         assert got[2, 1].exact and not got[1, 1].exact and got[1, 1].consistency == 1 and got[1, 1].n_slots > 3
     kept = templates.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items, {"consistency": 0.95})

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import let, read_table
+from weftline.llm.common import let, read_table, stored
 
 WINDOW = 8
 PARAMS = {
@@ -22,8 +22,9 @@ PARAMS = {
     "windows": 3,  # and their least number; items with fewer windows need all of them
     "consistency": 0.8,  # share of slot values that are mapped one to one
 }
-#: Windows of the benchmark up to this number (about 100 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_WINDOWS = 300_000
+#: Windows of the benchmark, and documents that are read again, are broadcast up to this number of rows (at most some
+#: hundred bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 300_000
 NAME, UNIT = "\x01", "\x02"
 #: Units of measure, and given names that count as names at the start of a sentence as well.
 UNITS = ["km", "cm", "mm", "m", "miles", "mile", "inches", "feet", "ft", "kg", "g", "mg", "pounds", "lb", "litres", "liters", "l", "ml", "hours", "hour", "h", "minutes", "min", "seconds", "s", "days", "weeks", "months", "years", "euros", "dollars", "cents", "degrees", "percent", "kmh", "mph", "watts", "volts"]
@@ -44,63 +45,72 @@ def slot_of(word: Column) -> Column:
     return F.when((first >= "0") & (first <= "9"), F.lit("#")).when(first == NAME, F.lit("@")).when(first == UNIT, F.lit("%")).otherwise(word)
 
 
-def windows_of(words: Column, window: int) -> Column:
-    """(hash, words) for each run of ``window`` template words, in order; none where the text is shorter.
-
-    Each window brings its own words, joined, so that no row of the explosion that follows has to carry the whole text.
-    """
+def window_hashes(words: Column, window: int) -> Column:
+    """A hash for each run of ``window`` template words, in order; null where the text is shorter."""
     hashed = F.transform(words, lambda w: F.xxhash64(slot_of(w)))
-    one = lambda h, k: F.struct(F.xxhash64(F.slice(h, k, window)).alias("hash"), F.array_join(F.slice(words, k, window), " ").alias("words"))
-    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda k: one(h, k))
+    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda k: F.xxhash64(F.slice(h, k, window)))
     return let(hashed, lambda h: F.when(F.size(h) >= window, runs(h)))
 
 
-def item_windows(items: DataFrame, p: dict) -> DataFrame:
-    """(item_id, n_windows, at, hash, item_words) of the benchmark: windows with enough literal words."""
+def item_words(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, item_key, item_words) of the items that have a window; equal items of one id count once."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text").cast("string")).alias("item_words"))
+    # items that share an id are kept apart by their words
+    return rows.where(F.size("item_words") >= window).distinct().withColumn("item_key", F.xxhash64("item_words"))
+
+
+def item_windows(words: DataFrame, p: dict) -> DataFrame:
+    """(item_id, item_key, n_windows, at, hash): the items' windows that have enough literal words, and how many those are."""
     w = p["window"]
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text").cast("string")).alias("_words")).where(F.size("_words") >= w).distinct()
-    # a bare row number of no meaning keeps items apart that share an id
-    rows = rows.select("item_id", "_words", F.xxhash64("_words").alias("item_key"), F.posexplode_outer(windows_of(F.col("_words"), w)).alias("at", "_window"))
-    rows = rows.select("item_id", "item_key", "at", F.col("_window.hash").alias("hash"), F.split("_window.words", " ").alias("item_words"))
-    rows = rows.where(F.size(F.filter("item_words", lambda x: ~slot_of(x).isin("#", "@", "%"))) >= p["literals"])
-    n = rows.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
-    return rows.join(n.withColumnRenamed("item_id", "_i").withColumnRenamed("item_key", "_k"), F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_key") == F.col("_k"))).drop("_i", "_k")
+    literal = lambda k: F.size(F.filter(F.slice(F.col("item_words"), k + 1, w), lambda x: ~slot_of(x).isin("#", "@", "%"))) >= p["literals"]
+    numbered = F.transform(window_hashes(F.col("item_words"), w), lambda h, k: F.struct(k.alias("at"), h.alias("hash"), literal(k).alias("good")))
+    rows = words.select("item_id", "item_key", F.filter(numbered, lambda x: x["good"]).alias("_w"))
+    return rows.select("item_id", "item_key", F.size("_w").alias("n_windows"), F.explode("_w").alias("_w")).select("item_id", "item_key", "n_windows", "_w.at", "_w.hash")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each document and item that it contains: doc_id, item_id, doc_start (template word), n_matched and
     n_windows (windows), coverage, n_slots, consistency, exact (all slots unchanged).
 
     The row is that of the item's best diagonal. Null texts have no windows; items shorter than a window, or with slots
     nearly throughout, find nothing; a null doc_id or item_id is kept as a value of its own. Repeated documents with one
     id give one row. Empty tables give none. Other columns are ignored.
+
+    Windows go through the join as a number and a hash each. Only documents with enough windows of an item on one
+    diagonal are read a second time, for the words in their slots.
     """
     p = PARAMS | (params or {})
-    items = item_windows(benchmark, p)
-    small = items.limit(broadcast_windows + 1).count() <= broadcast_windows
-    words = docs.select(F.col(id_col).cast("long").alias("doc_id"), template_words(F.col(text_col).cast("string")).alias("_words"))
+    w = p["window"]
+    few = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+    items = stored(item_words(benchmark, w), "items")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
+    hashes = texts.select("doc_id", template_words(F.col("_text")).alias("_words")).select("doc_id", window_hashes(F.col("_words"), w).alias("_hashes"))
     # the outer form, as the plain one would have the optimiser test and so compute the array twice
-    windows = words.select("doc_id", F.posexplode_outer(windows_of(F.col("_words"), p["window"])).alias("place", "_window"))
-    windows = windows.select("doc_id", "place", F.col("_window.hash").alias("_hash"), F.col("_window.words").alias("_joined"))
-    met = windows.join(F.broadcast(items) if small else items, F.col("_hash") == F.col("hash"))
-    met = met.select("doc_id", "item_id", "item_key", "n_windows", "at", "place", "item_words", F.split("_joined", " ").alias("doc_words"))
-    met = met.where(F.forall(F.zip_with("item_words", "doc_words", lambda a, b: slot_of(a) == slot_of(b)), lambda same: same))
-    slots = F.filter(F.arrays_zip("item_words", "doc_words"), lambda z: slot_of(z["item_words"]).isin("#", "@", "%"))
-    on = ["doc_id", "item_id", "item_key", "n_windows", "diagonal"]
-    lines = met.withColumn("diagonal", F.col("place") - F.col("at")).withColumn("slots", slots)
-    # a diagonal has no more windows and slots than the item, however long the document is
-    lines = lines.groupBy(*on).agg(F.size(F.collect_set("at")).cast("long").alias("n_matched"), F.min("place").alias("doc_start"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    both = let(F.col("slots"), lambda s: 2 * F.size(s) - F.greatest(F.size(s) - F.size(F.array_distinct(F.transform(s, lambda z: z["item_words"]))), F.lit(0)) - F.greatest(F.size(s) - F.size(F.array_distinct(F.transform(s, lambda z: z["doc_words"]))), F.lit(0)))
-    lines = lines.select(
+    windows = hashes.select("doc_id", F.posexplode_outer("_hashes").alias("place", "_hash"))
+    met = windows.join(few(item_windows(items, p)), F.col("_hash") == F.col("hash"))
+    lines = met.groupBy("doc_id", "item_id", "item_key", "n_windows", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))  # no more than the item has
+    n = F.size("ats")
+    lines = stored(lines.where((n / F.col("n_windows") >= p["coverage"]) & (n >= F.least(F.lit(p["windows"]), F.col("n_windows")))), "lines")
+    named = lines.withColumnRenamed("doc_id", "_id").join(few(items.select(F.col("item_id").alias("_item"), F.col("item_key").alias("_key"), "item_words")), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_key")))
+    ids = few(lines.select(F.col("doc_id").alias("_id")).distinct())
+    again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", template_words(F.col("_text")).alias("_words"))
+    both = again.join(few(named), F.col("doc_id").eqNullSafe(F.col("_id")))
+    places = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (w - 1)))))
+    pairs = F.transform(places, lambda k: F.struct(F.get("item_words", k).alias("item"), F.get("_words", k + F.col("diagonal")).alias("doc")))
+    both = both.select("doc_id", "item_id", "item_key", "diagonal", n.cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), (F.array_min("ats") + F.col("diagonal")).alias("doc_start"), pairs.alias("_pairs"))
+    # rows that share a doc_id may have other words there
+    both = both.where(F.forall("_pairs", lambda z: F.coalesce(slot_of(z["item"]) == slot_of(z["doc"]), F.lit(False))))
+    slots = F.array_distinct(F.filter("_pairs", lambda z: slot_of(z["item"]).isin("#", "@", "%")))
+    once = lambda s, side: F.size(F.array_distinct(F.transform(s, lambda z: z[side])))
+    both = both.withColumn("slots", slots).select(
         "*",
         F.size("slots").cast("long").alias("n_slots"),
         (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-        F.when(F.size("slots") > 0, both / (2 * F.size("slots"))).otherwise(F.lit(1.0)).alias("consistency"),
-        F.forall("slots", lambda z: z["item_words"] == z["doc_words"]).alias("exact"),
+        F.when(F.size("slots") > 0, (once(F.col("slots"), "item") + once(F.col("slots"), "doc")) / (2 * F.size("slots"))).otherwise(F.lit(1.0)).alias("consistency"),
+        F.forall("slots", lambda z: z["item"] == z["doc"]).alias("exact"),
     )
-    enough = (F.col("coverage") >= p["coverage"]) & (F.col("n_matched") >= F.least(F.lit(p["windows"]), F.col("n_windows"))) & (F.col("consistency") >= p["consistency"])
     best = F.max_by(F.struct("doc_start", "n_matched", "n_windows", "coverage", "n_slots", "consistency", "exact"), F.struct("n_matched", "consistency", -F.col("diagonal"), "item_key")).alias("b")
-    return lines.where(enough).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
+    return both.where(F.col("consistency") >= p["consistency"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = None) -> DataFrame:
