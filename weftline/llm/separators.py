@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import read_table, stored
+from weftline.llm.common import let, read_table, stored
 from weftline.llm.tokens import default_path, encoder, slices
 
 #: An id behind the vocabulary's 49,408; ids and separator fit 16 bits.
@@ -116,9 +116,10 @@ def count_tokens(blocks: DataFrame, end_id: int = END_OF_DOCUMENT, width: str =
     """
     at = stored(stitch(find_separators(blocks, end_id, width), group), "separators")
     ends = F.transform("ends", lambda e: e + F.col("tokens_before"))
-    docs = at.withColumn("_ends", ends).select("file", "docs_before", "open_since", "_ends", F.posexplode("_ends").alias("k", "end"))
-    start = F.when(F.col("k") > 0, F.get("_ends", F.col("k") - 1) + 1).otherwise(F.col("open_since"))
-    closed = docs.select("file", (F.col("docs_before") + F.col("k")).alias("doc_no"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"))
+    # each document brings its own start, so that no row of the explosion carries the block's other documents
+    spans = let(ends, lambda x: F.transform(x, lambda e, k: F.struct(F.when(k > 0, F.get(x, k - 1) + 1).otherwise(F.col("open_since")).alias("start"), e.alias("end"))))
+    docs = at.select("file", "docs_before", F.posexplode_outer(spans).alias("k", "span")).where("span IS NOT NULL")
+    closed = docs.select("file", (F.col("docs_before") + F.col("k")).alias("doc_no"), F.col("span.start").alias("start"), (F.col("span.end") - F.col("span.start")).alias("n_tokens"), F.lit(True).alias("closed"))
     last_end = F.coalesce(F.element_at(F.col("_e"), -1) + 1 + F.col("tokens_before"), F.col("open_since"))
     tail = at.withColumn("_e", F.when(F.size("ends") > 0, F.col("ends")))
     tail = tail.groupBy("file").agg(F.max(F.col("tokens_before") + F.col("n")).alias("all"), F.max(last_end).alias("since"), F.max(F.col("docs_before") + F.size("ends")).alias("docs"))
