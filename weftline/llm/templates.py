@@ -22,8 +22,8 @@ PARAMS = {
     "windows": 3,  # and their least number; items with fewer windows need all of them
     "consistency": 0.8,  # share of slot values that are mapped one to one
 }
-#: Windows of the benchmark, and documents that are read again, are broadcast up to this number of rows (at most some
-#: hundred bytes each); more are joined by a shuffle.
+#: Windows of the benchmark are broadcast up to this number (some forty bytes each), ids of documents that are read again
+#: up to three times as many, and rows with the words of items up to a tenth; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 NAME, UNIT = "\x01", "\x02"
 #: Units of measure, and given names that count as names at the start of a sentence as well.
@@ -81,7 +81,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
     """
     p = PARAMS | (params or {})
     w = p["window"]
-    few = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+
+    def few(df: DataFrame, share: float = 1.0) -> DataFrame:
+        most = int(broadcast_rows * share)
+        return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
     items = stored(item_words(benchmark, w), "items")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     hashes = texts.select("doc_id", template_words(F.col("_text")).alias("_words")).select("doc_id", window_hashes(F.col("_words"), w).alias("_hashes"))
@@ -91,10 +95,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
     lines = met.groupBy("doc_id", "item_id", "item_key", "n_windows", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))  # no more than the item has
     n = F.size("ats")
     lines = stored(lines.where((n / F.col("n_windows") >= p["coverage"]) & (n >= F.least(F.lit(p["windows"]), F.col("n_windows")))), "lines")
-    named = lines.withColumnRenamed("doc_id", "_id").join(few(items.select(F.col("item_id").alias("_item"), F.col("item_key").alias("_key"), "item_words")), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_key")))
-    ids = few(lines.select(F.col("doc_id").alias("_id")).distinct())
+    named = lines.withColumnRenamed("doc_id", "_id").join(few(items.select(F.col("item_id").alias("_item"), F.col("item_key").alias("_key"), "item_words"), 0.1), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_key")))
+    ids = few(lines.select(F.col("doc_id").alias("_id")).distinct(), 3.0)
     again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", template_words(F.col("_text")).alias("_words"))
-    both = again.join(few(named), F.col("doc_id").eqNullSafe(F.col("_id")))
+    both = again.join(few(named, 0.1), F.col("doc_id").eqNullSafe(F.col("_id")))
     places = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (w - 1)))))
     pairs = F.transform(places, lambda k: F.struct(F.get("item_words", k).alias("item"), F.get("_words", k + F.col("diagonal")).alias("doc")))
     both = both.select("doc_id", "item_id", "item_key", "diagonal", n.cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), (F.array_min("ats") + F.col("diagonal")).alias("doc_start"), pairs.alias("_pairs"))
