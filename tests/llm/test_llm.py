@@ -396,6 +396,34 @@ def test_components_of_a_long_chain(spark):
     assert {(r.node, r.root) for r in simhash.components(edges).collect()} == {(k, 0) for k in range(1, n)}
 
 
+def test_near_copies_match_brute_force(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    text = lambda k: [r.choice("abcdefghijklmnop") + str(r.randint(0, 99)) for _ in range(k)]
+    line, rows = text(30), []
+    for k in range(12):
+        words = text(r.choice([3, 20, 60, 150]))
+        rows.append(words)
+        for _ in range(3):
+            other = list(words)
+            for _ in range(r.randint(0, 6)):
+                other[r.randrange(len(other))] = "new" + str(r.randint(0, 9))
+            rows.append(other)
+    rows += [line + text(9) for _ in range(20)] + [text(2) + line for _ in range(20)] + [[], []]
+    rows = [(k, " ".join(w)) for k, w in enumerate(rows)] + [(0, "another text with this id"), (None, "nobody knows where this is from"), (None, None)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t in rows)]
+    group = list(range(len(rows)))
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for i, j in near:
+        a, b = group[i], group[j]
+        group = [b if g == a else g for g in group]
+    want = {min(((rows[i][0] is None, rows[i][0] or 0, rows[i][1] or "") for i in range(len(rows)) if group[i] == g)) for g in set(group)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert {(x.doc_id is None, x.doc_id or 0, x.text or "") for x in got} == want and len(got) == len(want)
+
+
 # --- 9
 
 
