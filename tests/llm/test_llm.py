@@ -85,6 +85,15 @@ def test_templates_find_copies_and_other_parameters(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [3, 4, 5, None]
 
 
+def test_templates_find_items_with_words_put_in_or_left_out(spark):
+    item = "in a small town by the sea the old baker told Maria that his sweet bread costs more than 1200 coins because flour and salt became rare"
+    rows = [(1, item.replace("Maria", "Maria Lopez")), (2, item.replace("1200", "1 200")), (3, item.replace("sweet ", "")), (4, item.replace("sweet bread", "sweet and brown bread")), (5, item), (6, " ".join(item.split()[:9]))]
+    items = spark.createDataFrame([(1, item, ""), (2, item.replace("Maria", "Eva Lopez"), "")], BENCH)
+    got = {(r.doc_id, r.item_id): r for r in templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(d, i) for d in range(1, 6) for i in (1, 2)}
+    assert got[5, 1].exact and got[5, 1].coverage == 1 and got[4, 1].coverage >= 0.9 and got[1, 1].doc_start == 0
+
+
 def test_templates_stay_on_the_jvm(spark, docs):
     plan = templates.contaminated(docs, spark.createDataFrame([(1, "a b c d e f g h i", "")], BENCH))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

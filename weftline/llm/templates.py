@@ -2,8 +2,8 @@
 
 Texts become templates: numbers, names and units of measure turn into typed slots, other words are lower-cased and
 punctuation falls away. Windows of templates are hashed, and the windows of all documents are joined by hash with those
-of the benchmark. On one diagonal (place in the document minus place in the item) the slots that the windows cover are
-then checked: a re-parameterised question gives each value of the item one value throughout, and different values
+of the benchmark. Over a band of neighbouring diagonals (place in the document minus place in the item), as words may have
+been put in or left out, the slots that the windows cover are then checked: a re-parameterised question gives each value of the item one value throughout, and different values
 different ones. Copies have every slot unchanged and pass as well.
 """
 
@@ -18,7 +18,8 @@ WINDOW = 8
 PARAMS = {
     "window": WINDOW,  # template words in a window
     "literals": 5,  # words of a window that must not be slots
-    "coverage": 0.5,  # share of an item's windows that must lie on one diagonal
+    "coverage": 0.5,  # share of an item's windows that must lie in one band of diagonals; those across a break count
+    "band": 8,  # diagonals that far apart are taken together
     "windows": 3,  # and their least number; items with fewer windows need all of them
     "consistency": 0.8,  # share of slot values that are mapped one to one
 }
@@ -60,24 +61,31 @@ def item_words(items: DataFrame, window: int) -> DataFrame:
 
 
 def item_windows(words: DataFrame, p: dict) -> DataFrame:
-    """(item_id, item_key, n_windows, at, hash): the items' windows that have enough literal words, and how many those are."""
+    """(item_id, item_key, n_windows, coverable, at, hash): the items' windows that have enough literal words, how many those
+    are, and how many words they cover."""
     w = p["window"]
     literal = lambda k: F.size(F.filter(F.slice(F.col("item_words"), k + 1, w), lambda x: ~slot_of(x).isin("#", "@", "%"))) >= p["literals"]
     numbered = F.transform(window_hashes(F.col("item_words"), w), lambda h, k: F.struct(k.alias("at"), h.alias("hash"), literal(k).alias("good")))
     rows = words.select("item_id", "item_key", F.filter(numbered, lambda x: x["good"]).alias("_w"))
-    return rows.select("item_id", "item_key", F.size("_w").alias("n_windows"), F.explode("_w").alias("_w")).select("item_id", "item_key", "n_windows", "_w.at", "_w.hash")
+    return rows.select("item_id", "item_key", F.size("_w").alias("n_windows"), F.size(_places(F.col("_w.at"), w)).alias("coverable"), F.explode("_w").alias("_w")).select("item_id", "item_key", "n_windows", "coverable", "_w.at", "_w.hash")
+
+
+def _places(ats: Column, window: int) -> Column:
+    """The places that windows beginning at ``ats`` cover."""
+    return F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + (window - 1)))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each document and item that it contains: doc_id, item_id, doc_start (template word), n_matched and
     n_windows (windows), coverage, n_slots, consistency, exact (all slots unchanged).
 
-    The row is that of the item's best diagonal. Null texts have no windows; items shorter than a window, or with slots
+    The row is that of the item's best diagonal or band of diagonals. Where words are put in or left out, the windows across
+    the break do not match; coverage counts them if the words on both sides are matched. Null texts have no windows; items shorter than a window, or with slots
     nearly throughout, find nothing; a null doc_id or item_id is kept as a value of its own. Repeated documents with one
     id give one row. Empty tables give none. Other columns are ignored.
 
-    Windows go through the join as a number and a hash each. Only documents with enough windows of an item on one
-    diagonal are read a second time, for the words in their slots.
+    Windows go through the join as a number and a hash each. Only documents with enough windows of an item in one
+    band are read a second time, for the words in their slots.
     """
     p = PARAMS | (params or {})
     w = p["window"]
@@ -92,16 +100,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
     # the outer form, as the plain one would have the optimiser test and so compute the array twice
     windows = hashes.select("doc_id", F.posexplode_outer("_hashes").alias("place", "_hash"))
     met = windows.join(few(item_windows(items, p)), F.col("_hash") == F.col("hash"))
-    lines = met.groupBy("doc_id", "item_id", "item_key", "n_windows", (F.col("place") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))  # no more than the item has
-    n = F.size("ats")
-    lines = stored(lines.where((n / F.col("n_windows") >= p["coverage"]) & (n >= F.least(F.lit(p["windows"]), F.col("n_windows")))), "lines")
+    # a match counts for its diagonal and for two overlapping bands, so that neighbours always share one
+    diagonal = F.col("place") - F.col("at")
+    band = F.floor(diagonal / p["band"]).cast("int")
+    groups = F.array(*[F.struct(F.lit(k).alias("wide"), x.alias("line")) for k, x in enumerate((diagonal, band, band + 1)) for k in [min(k, 1)]])
+    spread = met.select("doc_id", "item_id", "item_key", "n_windows", "coverable", F.struct("at", diagonal.alias("diagonal")).alias("hit"), F.explode(groups).alias("g"))
+    lines = spread.groupBy("doc_id", "item_id", "item_key", "n_windows", "coverable", "g").agg(F.collect_set("hit").alias("hits"))
+    lines = lines.where((F.col("g.wide") == 0) | (F.array_min("hits.diagonal") < F.array_max("hits.diagonal")))
+    lines = lines.withColumn("n_matched", F.size(F.array_distinct("hits.at"))).withColumn("covered", F.size(_places(F.array_distinct("hits.at"), w)))
+    n = F.greatest("n_matched", F.col("covered") - (w - 1))
+    share = F.greatest(F.col("n_matched") / F.col("n_windows"), (F.col("covered") - (w - 1)) / (F.col("coverable") - (w - 1)))
+    lines = lines.withColumn("coverage", share)
+    lines = stored(lines.where((F.col("coverage") >= p["coverage"]) & (n >= F.least(F.lit(p["windows"]), F.col("n_windows")))), "lines")
     named = lines.withColumnRenamed("doc_id", "_id").join(few(items.select(F.col("item_id").alias("_item"), F.col("item_key").alias("_key"), "item_words"), 0.1), F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_key") == F.col("_key")))
     ids = few(lines.select(F.col("doc_id").alias("_id")).distinct(), 3.0)
     again = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("doc_id", template_words(F.col("_text")).alias("_words"))
     both = again.join(few(named, 0.1), F.col("doc_id").eqNullSafe(F.col("_id")))
-    places = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (w - 1)))))
-    pairs = F.transform(places, lambda k: F.struct(F.get("item_words", k).alias("item"), F.get("_words", k + F.col("diagonal")).alias("doc")))
-    both = both.select("doc_id", "item_id", "item_key", "diagonal", n.cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), (F.array_min("ats") + F.col("diagonal")).alias("doc_start"), pairs.alias("_pairs"))
+    # at a break one word may be matched from both sides: each place, of the item and of the document, is used once
+    spots = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.transform(F.sequence(F.lit(0), F.lit(w - 1)), lambda k: F.struct((x["at"] + k).alias("i"), (x["at"] + x["diagonal"] + k).alias("d"))))))
+    first = let(spots, lambda s: F.filter(s, lambda x: ~F.exists(s, lambda y: (y["i"] == x["i"]) & (y["d"] < x["d"]))))
+    first = let(first, lambda s: F.filter(s, lambda x: ~F.exists(s, lambda y: (y["d"] == x["d"]) & (y["i"] < x["i"]))))
+    spots = F.when(F.col("g.wide") == 0, spots).otherwise(first)
+    pairs = let(spots, lambda s: F.transform(s, lambda x: F.struct(F.get("item_words", x["i"]).alias("item"), F.get("_words", x["d"]).alias("doc"))))
+    both = both.select("doc_id", "item_id", "item_key", "g.wide", F.array_min("hits.diagonal").alias("diagonal"), F.col("n_matched").cast("long").alias("n_matched"), F.col("n_windows").cast("long").alias("n_windows"), "coverage", F.array_min(F.transform("hits", lambda x: x["at"] + x["diagonal"])).alias("doc_start"), pairs.alias("_pairs"))
     # rows that share a doc_id may have other words there
     both = both.where(F.forall("_pairs", lambda z: F.coalesce(slot_of(z["item"]) == slot_of(z["doc"]), F.lit(False))))
     slots = F.array_distinct(F.filter("_pairs", lambda z: slot_of(z["item"]).isin("#", "@", "%")))
@@ -109,11 +130,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
     both = both.withColumn("slots", slots).select(
         "*",
         F.size("slots").cast("long").alias("n_slots"),
-        (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
         F.when(F.size("slots") > 0, (once(F.col("slots"), "item") + once(F.col("slots"), "doc")) / (2 * F.size("slots"))).otherwise(F.lit(1.0)).alias("consistency"),
         F.forall("slots", lambda z: z["item"] == z["doc"]).alias("exact"),
     )
-    best = F.max_by(F.struct("doc_start", "n_matched", "n_windows", "coverage", "n_slots", "consistency", "exact"), F.struct("n_matched", "consistency", -F.col("diagonal"), "item_key")).alias("b")
+    best = F.max_by(F.struct("doc_start", "n_matched", "n_windows", "coverage", "n_slots", "consistency", "exact"), F.struct("n_matched", "consistency", -F.col("wide"), -F.col("diagonal"), "item_key")).alias("b")
     return both.where(F.col("consistency") >= p["consistency"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
