@@ -94,6 +94,15 @@ def test_templates_find_items_with_words_put_in_or_left_out(spark):
     assert got[5, 1].exact and got[5, 1].coverage == 1 and got[4, 1].coverage >= 0.9 and got[1, 1].doc_start == 0
 
 
+def test_templates_find_items_without_windows(spark):
+    texts = ["What is the capital of France?", "3 + 5 + 7 = 15, 2 + 4 + 6 = 12", "法国的首都是哪一个城市", "Why so?"]
+    items = spark.createDataFrame([(k, t, "") for k, t in enumerate(texts)], BENCH)
+    rows = [(k, f"before this. {t} And after") for k, t in enumerate(texts)] + [(9, "3 + 5 + 7 = 15, 2 + 4 + 6 = 13. What is the name of it? 法国的首都 so why")]
+    rows[2] = (2, "请问法国的首都是哪一个城市呢")
+    got = {(r.doc_id, r.item_id): r for r in templates.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert set(got) == {(k, k) for k in range(4)} and all(r.exact for r in got.values())
+
+
 def test_templates_stay_on_the_jvm(spark, docs):
     plan = templates.contaminated(docs, spark.createDataFrame([(1, "a b c d e f g h i", "")], BENCH))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

@@ -27,6 +27,8 @@ PARAMS = {
 #: up to three times as many, and rows with the words of items up to a tenth; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
 NAME, UNIT = "\x01", "\x02"
+#: Letters of scripts that write no spaces between words: each is a word.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&[\p{L}]"
 #: Units of measure, and given names that count as names at the start of a sentence as well.
 UNITS = ["km", "cm", "mm", "m", "miles", "mile", "inches", "feet", "ft", "kg", "g", "mg", "pounds", "lb", "litres", "liters", "l", "ml", "hours", "hour", "h", "minutes", "min", "seconds", "s", "days", "weeks", "months", "years", "euros", "dollars", "cents", "degrees", "percent", "kmh", "mph", "watts", "volts"]
 GIVEN_NAMES = ["Alice", "Anna", "Ben", "Bob", "Carlos", "David", "Emma", "Eva", "Frank", "Hans", "James", "Jane", "John", "Juan", "Julia", "Lisa", "Lucas", "Luis", "Maria", "Mark", "Mary", "Max", "Michael", "Natalia", "Paul", "Peter", "Pierre", "Sam", "Sara", "Sofia", "Tom", "Weng"]
@@ -37,7 +39,7 @@ def template_words(text: Column) -> Column:
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{UNIT}]", " ")
     units = F.regexp_replace(plain, r"([0-9]) ?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", f"$1 {UNIT}$2")
     names = F.regexp_replace(F.when(plain.rlike("[0-9]"), units).otherwise(plain), r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{L})|\b(?=(?:" + "|".join(GIVEN_NAMES) + r")\b)", NAME)
-    return F.regexp_extract_all(F.lower(names), F.lit(r"[\x01\x02]?(?:[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+)"), F.lit(0))
+    return F.regexp_extract_all(F.lower(names), F.lit(rf"[\x01\x02]?(?:[0-9]+(?:[.,][0-9]+)*|[{UNSPACED}]\p{{M}}*|[[\p{{L}}\p{{M}}]&&[^{UNSPACED}]]+)"), F.lit(0))
 
 
 def slot_of(word: Column) -> Column:
@@ -53,11 +55,11 @@ def window_hashes(words: Column, window: int) -> Column:
     return let(hashed, lambda h: F.when(F.size(h) >= window, runs(h)))
 
 
-def item_words(items: DataFrame, window: int) -> DataFrame:
-    """(item_id, item_key, item_words) of the items that have a window; equal items of one id count once."""
+def item_words(items: DataFrame) -> DataFrame:
+    """(item_id, item_key, item_words) of the items that have a word; equal items of one id count once."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), template_words(F.col("text").cast("string")).alias("item_words"))
     # items that share an id are kept apart by their words
-    return rows.where(F.size("item_words") >= window).distinct().withColumn("item_key", F.xxhash64("item_words"))
+    return rows.where(F.size("item_words") > 0).distinct().withColumn("item_key", F.xxhash64("item_words"))
 
 
 def item_windows(words: DataFrame, p: dict) -> DataFrame:
@@ -70,6 +72,39 @@ def item_windows(words: DataFrame, p: dict) -> DataFrame:
     return rows.select("item_id", "item_key", F.size("_w").alias("n_windows"), F.size(_places(F.col("_w.at"), w)).alias("coverable"), F.explode("_w").alias("_w")).select("item_id", "item_key", "n_windows", "coverable", "_w.at", "_w.hash")
 
 
+def whole_items(texts: DataFrame, words: DataFrame, p: dict, few) -> DataFrame:
+    """A row for each place where a text holds an item that has no usable window, the item being one run of its own length.
+
+    Its words must be the same; with enough literal words it may have other values in its slots.
+    """
+    w = p["window"]
+    slotted = lambda x: slot_of(x).isin("#", "@", "%")
+    literals = lambda x: F.size(F.filter(x, lambda y: ~slotted(y)))
+    bare = lambda x: F.transform(x, lambda y: F.translate(y, NAME + UNIT, ""))
+    starts = F.when(F.size("item_words") >= w, F.sequence(F.lit(1), F.size("item_words") - w + 1)).otherwise(F.array().cast("array<int>"))
+    alone = words.where(~F.exists(starts, lambda k: literals(F.slice(F.col("item_words"), k, w)) >= p["literals"]))
+    template = lambda x: F.transform(x, slot_of)
+    own = F.col("item_words")
+    keys = F.array(F.xxhash64(F.lit(0), bare(own)), F.when(literals(own) >= p["literals"], F.xxhash64(F.lit(1), template(own))))
+    keyed = alone.select("item_id", "item_key", "item_words", F.size(own).alias("size"), F.explode(keys).alias("hash")).where("hash IS NOT NULL")
+    lengths = [r[0] for r in keyed.select("size").distinct().collect()]
+    runs = texts.select("doc_id", template_words(F.col("_text")).alias("_words"))
+    runs = runs.select("doc_id", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("_size"), "_words").where(F.size("_words") >= F.col("_size"))
+    at = F.sequence(F.lit(1), F.size("_words") - F.col("_size") + 1)
+    runs = runs.select("doc_id", "_size", F.posexplode(F.transform(at, lambda k: F.slice(F.col("_words"), k, F.col("_size")))).alias("place", "run"))
+    runs = runs.select("doc_id", "_size", "place", "run", F.explode(F.array(F.xxhash64(F.lit(0), bare(F.col("run"))), F.xxhash64(F.lit(1), template(F.col("run"))))).alias("_hash"))
+    met = runs.join(few(keyed, 0.1), (F.col("_hash") == F.col("hash")) & (F.col("_size") == F.col("size")))
+    slots = F.array_distinct(F.filter(F.arrays_zip(bare("item_words").alias("item"), bare("run").alias("doc"), F.col("item_words").alias("kind")), lambda z: slotted(z["kind"])))
+    once = lambda side: F.size(F.array_distinct(F.transform("slots", lambda z: z[side])))
+    one = F.lit(1).cast("long")
+    return met.withColumn("slots", slots).select(
+        "doc_id", "item_id", "item_key", F.lit(0).alias("wide"), F.col("place").alias("diagonal"), one.alias("n_matched"), one.alias("n_windows"), F.lit(1.0).alias("coverage"), F.col("place").alias("doc_start"),
+        F.size("slots").cast("long").alias("n_slots"),
+        F.when(F.size("slots") > 0, (once("item") + once("doc")) / (2 * F.size("slots"))).otherwise(F.lit(1.0)).alias("consistency"),
+        F.forall("slots", lambda z: z["item"] == z["doc"]).alias("exact"),
+    )
+
+
 def _places(ats: Column, window: int) -> Column:
     """The places that windows beginning at ``ats`` cover."""
     return F.array_distinct(F.flatten(F.transform(ats, lambda a: F.sequence(a, a + (window - 1)))))
@@ -81,7 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
 
     The row is that of the item's best diagonal or band of diagonals. Where words are put in or left out, the windows across
     the break do not match; coverage counts them if the words on both sides are matched. Null texts have no windows; items shorter than a window, or with slots
-    nearly throughout, find nothing; a null doc_id or item_id is kept as a value of its own. Repeated documents with one
+    nearly throughout, are found as one run of their own length (one window of one); a null doc_id or item_id is kept as a value of its own. Repeated documents with one
     id give one row. Empty tables give none. Other columns are ignored.
 
     Windows go through the join as a number and a hash each. Only documents with enough windows of an item in one
@@ -94,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
         most = int(broadcast_rows * share)
         return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
-    items = stored(item_words(benchmark, w), "items")
+    items = stored(item_words(benchmark), "items")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     hashes = texts.select("doc_id", template_words(F.col("_text")).alias("_words")).select("doc_id", window_hashes(F.col("_words"), w).alias("_hashes"))
     # the outer form, as the plain one would have the optimiser test and so compute the array twice
@@ -133,6 +168,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
         F.when(F.size("slots") > 0, (once(F.col("slots"), "item") + once(F.col("slots"), "doc")) / (2 * F.size("slots"))).otherwise(F.lit(1.0)).alias("consistency"),
         F.forall("slots", lambda z: z["item"] == z["doc"]).alias("exact"),
     )
+    both = both.drop("_pairs", "slots").unionByName(whole_items(texts, items, p, few))
     best = F.max_by(F.struct("doc_start", "n_matched", "n_windows", "coverage", "n_slots", "consistency", "exact"), F.struct("n_matched", "consistency", -F.col("wide"), -F.col("diagonal"), "item_key")).alias("b")
     return both.where(F.col("consistency") >= p["consistency"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
