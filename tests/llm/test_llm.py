@@ -340,6 +340,15 @@ def test_trees_are_right_on_spans_they_have_not_seen():
     assert abs(p.mean() - y.mean()) < 0.03
 
 
+def test_every_labelled_positive_is_proposed():
+    rows, y = pii.labelled(3000, seed=5)
+    missed = [(t, s) for (t, s), good in zip(rows, y, strict=True) if good and s not in pii.candidates(t) and not any(b < s[2] and s[1] < e for _, b, e in pii.base_spans(t))]
+    assert not missed, missed[:5]
+    for kind, s in [(0, "JOHN.DOE (AT) EXAMPLE (DOT) COM"), (2, "4111 - 1111 - 1111 - 1111"), (1, "2001:db8::1"), (1, "fe80::1ff:fe23:4567:890a")]:
+        assert (kind, 5, 5 + len(s)) in pii.candidates(f"here {s} ends")
+        assert (kind, 5, 5 + len(s)) in pii.all_spans([f"here {s} ends"], pii.model())[0][1], s
+
+
 def test_added_spans_and_redaction(spark):
     texts = ["call (415) 555-2485 or mail a.b@c.de", "write to jane (at) mail (dot) com now", "released 2024-01-15, version 10.2.33", None, "", "é 4111 1111 1111 1111 end", "see 1990-2000 pages 1234567"]
     df = spark.createDataFrame([(k if k else None, t, 5) for k, t in enumerate(texts)] + [(1, texts[1], 5)], "doc_id long, text string, n_chars long")

@@ -72,9 +72,12 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-_NUMBER = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9])+(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().\-/]{0,3}[0-9])+(?![A-Za-z0-9])")
 _SPELLED = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.I)
 _SIX = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+#: IPv6 with one run of zeros left out.
+_SHORT_SIX = re.compile(r"(?<![0-9A-Za-z:])(?=[0-9A-Fa-f:]*::)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
+_AT, _DOT = re.compile(r"[(\[{]at[)\]}]| at ", re.I), re.compile(r"[(\[{]dot[)\]}]| dot |\.", re.I)
 _HINTS = (re.compile(r"mail|contact|write", re.I), re.compile(r"\bip\b|host|server|addr", re.I), re.compile(r"card|visa|master|credit|pay", re.I), re.compile(r"tel|phone|call|fax|mobile|dial", re.I))
 _DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][01]?[0-9][-./][0-3]?[0-9]|[0-3]?[0-9][-./][01]?[0-9][-./](?:19|20)[0-9]{2}")
 
@@ -82,8 +85,10 @@ _DATE = re.compile(r"(?:19|20)[0-9]{2}[-./][01]?[0-9][-./][0-3]?[0-9]|[0-3]?[0-9
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals: every number-like run as card and as phone, spelled-out addresses, colon-separated runs."""
     out: list[Span] = []
-    if "at)" in text or "at]" in text or "at}" in text or " dot " in text:
+    if _AT.search(text) and _DOT.search(text):
         out += [(0, *m.span()) for m in _SPELLED.finditer(text)]
+    if "::" in text:
+        out += [(1, *m.span()) for m in _SHORT_SIX.finditer(text) if len(m.group()) > 2 and len(re.findall(r"[0-9A-Fa-f]+", m.group())) <= 7]
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
             n = sum(c.isdigit() for c in m.group())
@@ -108,7 +113,7 @@ def features(text: str, span: Span) -> list[float]:
         len(groups[0]) if groups else 0, len(groups[-1]) if groups else 0, max(map(len, groups), default=0), min(map(len, groups), default=0),
         s[0] == "+", s[0] == "(" and ")" in s, luhn(digits) if 13 <= len(digits) <= 19 else -1, "/" in s, s.count("."), s.count("-"), s.count(" "), s.count(":"),
         bool(_DATE.search(s)), len(set(digits)), digits[:1] == "0", bool(_HINTS[kind].search(before)), sum(c.isdigit() for c in before[-6:] + after[:6]),
-        before[-1:] in ".,=#$€£%/-_:", after[:1] in "%€$£/-_:", "(at" in s or "[at" in s or "{at" in s, "dot" in s, s.count("(") == s.count(")"),
+        before[-1:] in ".,=#$€£%/-_:", after[:1] in "%€$£/-_:", bool(re.search(r"[(\[{]at", s, re.I)), "dot" in s.lower(), "::" in s, s.count("(") == s.count(")"),
     ]
 
 
@@ -129,8 +134,10 @@ def labelled(rows: int, seed: int = 7) -> tuple[list[tuple[str, Span]], np.ndarr
         if kind == 0:
             at, dot = r.choice([("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", " dot ")])
             s = f"{word()}{r.choice(['', '.', '_'])}{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de', 'fr', 'io'])}" if good else f"{word()} at {word()}{r.choice(['. ', '.'])}{word()}"
+            s = s.upper() if good and r.random() < 0.2 else s
         elif kind == 1:
-            s = ":".join(r.choice([d(4), "%x" % r.randrange(1 << 16), "fe80"]) for _ in range(8)) if good else r.choice([f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(2)}:{d(2)}:{d(3)}:{d(2)}"])
+            part = lambda n: ":".join(r.choice([d(4), "%x" % r.randrange(1 << 16), "fe80"]) for _ in range(n))
+            s = r.choice([part(8), f"{r.choice(['2001', 'fe80'])}:{part(r.randint(1, 2))}::{part(r.randint(1, 4))}", f"{r.choice(['2001:db8', 'fe80'])}::{part(r.randint(1, 4))}"]) if good else r.choice([f"{d(2)}:{d(2)}:{d(2)}:{d(2)}", f"{d(1)}:{d(2)}:{d(2)}:{d(3)}:{d(2)}", f"{d(1)}::{d(1)}", f"a::{d(1)}"])
         elif kind == 2:
             n = _luhn_number(r, 16)
             s = r.choice([".", "/", " - "]).join(n[a : a + 4] for a in range(0, 16, 4)) if good else r.choice([d(r.randint(13, 19)), ".".join(d(4) for _ in range(4)), f"{d(8)}-{d(8)}", f"{d(5)}.{d(4)}.{d(4)}"])
@@ -168,7 +175,7 @@ def all_spans(texts: list[str], trained: tuple[BoostedTrees, tuple[float, ...]])
     base = [base_spans(t) for t in texts]
     proposed: list[tuple[int, Span]] = []
     for i, t in enumerate(texts):
-        if base[i] or _DIGIT.search(t) or "at" in t:
+        if base[i] or _DIGIT.search(t) or _AT.search(t) or "::" in t:
             taken = [(b, e) for _, b, e in base[i]]
             proposed += [(i, c) for c in candidates(t) if not any(c[1] < e and b < c[2] for b, e in taken)]
     extra: dict[int, list[tuple[float, Span]]] = {}
