@@ -504,6 +504,12 @@ def test_main_text_of_broken_markup():
     assert text("<p>" * 3000 + "x") == "x" and text("<div>" * 500 + "deep" + "</div>" * 500) == "deep"
 
 
+def test_classes_of_the_whole_page_are_not_noise():
+    text = lambda h: style_tree.main_text(style_tree.parse(h), "h", lambda _: False)
+    for outer in ("body class='no-sidebar'", "body class='single comments-open header-fixed'", "main id='content-form'", "article class='post related'", "div class='has-sidebar'"):
+        assert text(f"<{outer}><p>kept</p><div class='sidebar'>gone</div></{outer.split()[0]}>") == "kept", outer
+
+
 def test_site_trees_find_repeated_branches(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdef") for _ in range(6))

@@ -40,6 +40,9 @@ _BARRIERS = frozenset("table ul ol dl article section main aside nav header foot
 _NOISE_TAGS = frozenset("nav footer aside form button select fieldset dialog menu search".split())
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar aside cookie cookies consent gdpr notice notices popup modal newsletter subscribe subscription signup login search form comment comments disqus replies reply respond share sharing social related recommended widget toolbar pagination pager skip".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
+#: Classes that tell the state of a page's layout, and elements that no class or id makes noise.
+_STATE = re.compile(r"(?:no|has|with|without|is)[-_].*|.*[-_](?:open|closed|enabled|disabled|on|off)", re.I | re.S)
+_WHOLE_TAGS = frozenset("html body main article".split())
 _HEADER_WORDS = frozenset("header masthead".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -72,7 +75,7 @@ def _element(tag: str, raw: str, up: Element | None) -> Element:
     if raw and not raw.isspace():
         said = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
         named = f"{said.get('class', '')} {said.get('id', '')}"
-        words = {w.lower() for w in _WORDS.findall(named)}
+        words = set() if tag in _WHOLE_TAGS else {w.lower() for c in named.split() if not _STATE.fullmatch(c) for w in _WORDS.findall(c)}
         role = said.get("role", "").lower()
         noise = noise or bool(words & _NOISE_WORDS) or role in _NOISE_ROLES or "hidden" in raw.lower().split() or "display:none" in said.get("style", "").replace(" ", "").lower()
         header = header or bool(words & _HEADER_WORDS)
