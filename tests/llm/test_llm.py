@@ -525,6 +525,13 @@ def test_site_trees_find_repeated_branches(spark):
         assert by[100] == "always the same\n\nbut an article" and by[200] == "no host" and by[201] == by[None] == ""
 
 
+def test_entropy_leaves_articles_whole(spark):
+    rows = [(k, "http://food.com/", page(f"<h2>Method</h2><p>stir {k} times</p>")) for k in range(12)]
+    rows += [(k, "http://two.com/", page(f"<div class='c'><p>article {k % 2}</p></div>", f"<div class='x'>advert {k}</div>")) for k in range(20, 40)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: f"Method\n\nstir {k} times" for k in range(12)}, **{k: f"article {k % 2}" for k in range(20, 40)}}
+
+
 # --- the pipeline
 
 

@@ -45,6 +45,8 @@ _STATE = re.compile(r"(?:no|has|with|without|is)[-_].*|.*[-_](?:open|closed|enab
 _WHOLE_TAGS = frozenset("html body main article".split())
 _HEADER_WORDS = frozenset("header masthead".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Headings and blocks of text, which entropy does not remove inside an article.
+_TEXT = _HEADINGS | frozenset("p ul ol li dl dt dd blockquote pre table caption thead tbody tfoot tr td th figure figcaption hgroup".split())
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*+)>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -176,7 +178,9 @@ def observe(page: Page, host: str) -> Iterator[tuple[int, int, int, int]]:
                 texts[path].append(t)
                 seen.add(path)
             at = page.parents[at]
-    whole = _hash("\n".join(t for t, _ in page.blocks))
+    # one article in other wrappers is no other page
+    article = [t for t, at in page.blocks if at >= 0 and page.elements[at].main and not page.elements[at].noise]
+    whole = _hash("\n".join(article or [t for t, _ in page.blocks]))
     for path, parts in texts.items():
         if parts:
             yield node_id(host, path), _hash("\n".join(parts)), _hash(" ".join(sorted(shown.get(path, ())))), whole
@@ -192,7 +196,8 @@ def main_text(page: Page, host: str, noise) -> str:
             low[k] = True
         elif not low[k]:
             if e.path not in judged:
-                judged[e.path] = e.tag not in ("html", "body") and noise(node_id(host, e.path))
+                begins = e.main and not (up >= 0 and page.elements[up].main)
+                judged[e.path] = not (e.tag in _WHOLE_TAGS or begins or (e.main and e.tag in _TEXT)) and noise(node_id(host, e.path))
             low[k] = judged[e.path]
     marked = any(at >= 0 and page.elements[at].main and not page.elements[at].noise for _, at in page.blocks)
     out = []
