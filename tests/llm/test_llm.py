@@ -7,10 +7,13 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from xml.etree import ElementTree
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
@@ -494,9 +497,13 @@ def page(body: str, site: str = "<div class='x'>Subscribe to us now</div>") -> s
     return f"<!DOCTYPE html><html><head><title>T</title><script>var a='<p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{site}<article>{body}</article><footer>&copy; me</footer></body></html>"
 
 
+def main_text(h: str) -> str:
+    parsed = style_tree.parse(h)
+    return style_tree.main_text(parsed, [False] * len(parsed.tags))
+
+
 def test_main_text_of_broken_markup():
-    none = lambda _: False
-    text = lambda h: style_tree.main_text(style_tree.parse(h), "h", none)
+    text = main_text
     assert text(page("<h1>A &amp; B</h1><p><b>one<br>two\n three<p>four &lt;x&gt;<!-- no --></p>")) == "A & B\n\none two three\n\nfour <x>"
     assert text(page("<p>keep</p><div class='comments'><p>reader</p></div><form><p>f</p></form><p>more")) == "keep\n\nmore"
     assert text("<body><div id='sidebar'>s</div><p>a<p>b<ul><li>c<li>d</ul><table><tr><td>e<td>f</table>") == "a\n\nb\n\nc\n\nd\n\ne\n\nf"
@@ -505,9 +512,74 @@ def test_main_text_of_broken_markup():
 
 
 def test_classes_of_the_whole_page_are_not_noise():
-    text = lambda h: style_tree.main_text(style_tree.parse(h), "h", lambda _: False)
+    text = main_text
     for outer in ("body class='no-sidebar'", "body class='single comments-open header-fixed'", "main id='content-form'", "article class='post related'", "div class='has-sidebar'"):
         assert text(f"<{outer}><p>kept</p><div class='sidebar'>gone</div></{outer.split()[0]}>") == "kept", outer
+    for whole in ("<body class='page has-sidebar'><article><p>Hello world</p></article></body>", "<div class='content with-sidebar'><p>Hello world</p></div>", "<article class='post comment-open'><p>Hello world</p></article>", "<div class='content-sidebar-wrap'><p>Hello world</p></div>", "<nav><ul><li>menu</li></ul><article><p>Hello world</p></article>", "<form id='aspnetForm'><nav>menu</nav><h1>Hello world</h1></form>", "<div class='formula notice-of-motion'>Hello world</div>"):
+        assert text(whole) == "Hello world", whole
+    for name in ("comments", "comment-list", "ad", "site-footer", "main-navigation", "relatedPosts", "cookie-notice", "left_sidebar", "share-buttons"):
+        assert text(f"<article><p>kept</p><div class='{name}'>gone</div></article>") == "kept", name
+    assert text("<article><p>kept</p><article class='comment' id='comment-3'><p>reader</p></article></article>") == "kept"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    took = []
+    for n in (10_000, 40_000):
+        began = time.perf_counter()
+        for h in ("<div>a" * n + "</section>" * n, "<p><div>" + "<center>b" * n + "</p>" * n, "<section>" * n + "</div>c" * n, "<ul><li>d" * n):
+            parsed = style_tree.parse(h)
+            assert len(list(style_tree.observe(parsed, "h"))) > 0 and style_tree.main_text(parsed, [False] * len(parsed.tags))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] and took[1] < 30
+
+
+def test_importances_match_brute_force(spark):
+    r = random.Random(4)
+    rows = []
+    for k in range(60):
+        host = f"h{k % 3}.com"
+        menu = "".join(f"<li>{r.choice('abc')}</li>" for _ in range(r.randint(1, 2)))
+        boxes = "".join(f"<div class='box{r.randint(1, 9)}'>{r.choice('xyz')}</div>" for _ in range(r.randint(0, 2)))
+        rows.append((k, f"http://{host}/{k}", f"<html><body><div class='menu2'><ul>{menu}</ul></div><div id='c'>{boxes}<p>{r.randint(0, 40)}</p></div></body></html>"))
+    rows.append(rows[7])
+    seen: dict = collections.defaultdict(dict)
+    for _, url, h in rows:
+        root = ElementTree.fromstring(h)
+        whole, texts, shown, parent = "\n".join(x for x in root.itertext()), collections.defaultdict(list), collections.defaultdict(set), {}
+
+        def walk(e, path, up, texts=texts, shown=shown, parent=parent):
+            style = e.tag + (f".{re.sub('[0-9]+', '#', e.get('class') or e.get('id'))}" if e.attrib else "")
+            path = (*path, style)
+            parent[path] = up
+            if up:
+                shown[up].add(style)
+            inner = [e.text or "", *[walk(c, path, path) for c in e]]
+            texts[path].append(tuple(x for x in inner if x))
+            return texts[path][-1]
+
+        walk(root, (), ())
+        for path, t in texts.items():
+            if any(t):
+                seen[url.split("/")[2], path][whole] = (tuple(t), frozenset(shown[path]))
+    want = []
+    for pages in seen.values():
+        spread = []
+        for side in (0, 1):
+            n = collections.Counter(x[side] for x in pages.values()).values()
+            m = sum(n)
+            spread.append(-sum(v / m * math.log(v / m) for v in n) / math.log(m))
+        want.append((len(pages), round(max(spread), 9)))
+    got = style_tree.importances(spark.createDataFrame(rows, "page_id long, url string, html string"), priors=False).collect()
+    assert sorted((x.m, round(x.importance, 9)) for x in got) == sorted((m, i if i else 0.0) for m, i in want)
+
+
+def test_importance_alone_finds_the_article_of_whole_sites(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    with_styles, alone = (style_tree.extract(pages, priors=p) for p in (True, False))
+    assert style_tree.noise_nodes(pages, priors=False).count() > 200
+    both = with_styles.select("page_id", "text").join(alone.select("page_id", F.col("text").alias("other")), "page_id")
+    n, same, untouched = both.select(F.count("*"), F.count_if(F.col("text") == F.col("other")), F.count_if(F.col("other").contains("\u00a9"))).first()
+    assert n == 2500 and same >= 0.99 * n and untouched <= 0.01 * n
 
 
 def test_site_trees_find_repeated_branches(spark):
@@ -518,7 +590,7 @@ def test_site_trees_find_repeated_branches(spark):
     rows += [(200, None, page("<p>no host</p>"), ""), (201, "http://site.com/z", None, ""), (None, "http://site.com/n", "", ""), rows[0]]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     for limit in (1000, 0):
-        got = style_tree.extract(df, broadcast_nodes=limit).collect()
+        got = style_tree.extract(df, broadcast_nodes=limit).collect()  # by broadcast, then by a join
         assert len(got) == len(rows) and all(x.n_chars == len(x.text) for x in got)
         by = {x.page_id: x.text for x in got}
         assert all("same words" not in by[k] and len(by[k].split("\n\n")) == 2 for k in range(30))
@@ -564,5 +636,5 @@ def test_url_query_matches_sql(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
     got, want = temporal_urls.op5_temporal_urls(spark, folder).toPandas(), con.sql(temporal_urls.OP5_SQL).df()
-    key = lambda f: sorted(str([None if v != v or v is None else (int(v) if isinstance(v, float) else v) for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
+    key = lambda f: sorted(str([None if pd.isna(v) else (int(v) if isinstance(v, float) else v) for v in r]) for r in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
     assert key(got) == key(want)
