@@ -165,6 +165,39 @@ def test_quality_counts_match_brute_force(docs):
         assert r.base_failed == (n[0] < 50 or 100 * n[4] > 50 * n[0]) and not (r.base_failed and r.kept)
 
 
+def test_repeated_words_are_exact_where_hashes_collide(spark):
+    r = random.Random(11)
+    texts = ["a3596430 b c q1 a5372134 b c q2 a3596430 b c"] + [" ".join(r.choice("abcd") for _ in range(r.randint(0, 90))) for _ in range(150)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").withColumn("w", divergence.words_of(F.col("t")))
+    masks = (-1, 3 << 40, 0)  # whole hashes, two bits of them, none
+    for x in df.select("k", *[divergence.repeated_words(F.col("w"), m).alias(f"n{i}") for i, m in enumerate(masks)]).collect():
+        assert [x.n0, x.n1, x.n2] == [base(texts[x.k])[4]] * 3
+
+
+def _frame(f: pd.DataFrame) -> list:
+    return sorted(str([None if pd.isna(v) else v if isinstance(v, str) else float(v) for v in x]) for x in f[sorted(f.columns)].astype(object).itertuples(index=False, name=None))
+
+
+def test_quality_query_matches_sql(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        files = f"{folder}/documents.parquet" + ("/*.parquet" if folder == str(tmp_path) else "")
+        con.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{files}'")
+        assert _frame(divergence.op3_divergence(spark, folder).toPandas()) == _frame(con.sql(divergence.OP3_SQL).df())
+
+
+def test_quality_judges_rows_and_not_ids(spark):
+    r = random.Random(5)
+    prose = lambda k: " ".join(r.choice(divergence.COMMON["en"]) if r.random() < 0.4 else "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9))) for _ in range(k))
+    rows = [(k % 7, prose(120), "en", 1, "x") for k in range(60)] + [(None, prose(120).upper(), "en", 2, "x"), (None, prose(120), "en", 3, "x"), (3, prose(120).upper(), "en", 2, "x"), (None, None, None, 2, None), (2, prose(120).upper(), "xx", 2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, _text string")
+    kept = divergence.keep_good(df)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    got = kept.collect()
+    assert sum(x.n_words == 1 for x in got) >= 59 and sum(x.n_words == 3 for x in got) == 1 and not any(x.n_words == 2 for x in got)
+
+
 def test_quality_rejects_odd_distributions_and_keeps_short_ones(spark):
     r = random.Random(3)
     common = "the of and to in a is that for it with as was on are by".split()
