@@ -16,6 +16,8 @@ class BoostedTrees:
     rate: float = 0.25
     bins: int = 32
     l2: float = 1.0
+    #: rows that are scored at a time, so that they stay in the processor's cache
+    chunk: int = 4096
     edges: list[np.ndarray] = field(default_factory=list)
     #: per tree: (feature, bin) of the inner nodes in level order, and the leaves' values
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
@@ -56,12 +58,16 @@ class BoostedTrees:
         return self
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        b, score = self._bin(x), np.full(len(x), self.start)
+        return np.concatenate([self._raw(x[at : at + self.chunk]) for at in range(0, max(1, len(x)), self.chunk)])
+
+    def _raw(self, x: np.ndarray) -> np.ndarray:
+        wide = x.shape[1]
+        b, score, row = self._bin(x).astype(np.uint8).ravel(), np.full(len(x), self.start), np.arange(len(x)) * wide
         for feats, cuts, value in self.trees:
             node = np.zeros(len(x), np.int64)
             for level in range(self.depth):
-                at = node + (1 << level) - 1
-                node = 2 * node + (b[np.arange(len(x)), feats[at]] > cuts[at])
+                at = node + ((1 << level) - 1)
+                node = 2 * node + (b[row + feats[at]] > cuts[at])
             score += value[node]
         return score
 
