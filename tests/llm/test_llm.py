@@ -19,7 +19,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from weftline.llm import divergence, hash_tree, packing, pii, separators, simhash, style_tree, substrings, templates, temporal_urls
+from weftline.llm import common, divergence, hash_tree, packing, pii, separators, simhash, style_tree, substrings, templates, temporal_urls
 from weftline.llm.tokens import WordEncoder, default_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, shard int"
@@ -501,6 +501,33 @@ def test_lists_link_what_pairs_would(spark):
     assert {frozenset(p) for p in parts} == {frozenset(p) for p in mine.values()}
 
 
+def test_the_tally_of_positional_bytes_admits_pairs():
+    r = random.Random(14)
+    same = lambda a, b: sum((a >> 8 * k) & 255 == (b >> 8 * k) & 255 for k in range(8))
+    pairs = []
+    for _ in range(3000):
+        a = r.getrandbits(64)
+        pairs.append((a, a ^ sum({1 << r.randrange(64) for _ in range(r.randint(0, 4))})))
+        pairs.append((a, a ^ r.getrandbits(8) << 8 * r.randrange(8) ^ r.getrandbits(8) << 8 * r.randrange(8)))
+    x, y = (np.array([p[k] for p in pairs], np.uint64) for k in (0, 1))
+    tally = simhash.shared_bytes(x, y).tolist()
+    assert tally == [same(a, b) for a, b in pairs]
+    bits = [(a ^ b).bit_count() for a, b in pairs]
+    assert all(t >= 6 for t, n in zip(tally, bits, strict=True) if n <= 2)  # the guaranteed minimum loses none
+    assert simhash._linked(x, y, 2).tolist() == [t >= 6 and n <= 2 for t, n in zip(tally, bits, strict=True)]
+    assert any(t >= 6 and n > 2 for t, n in zip(tally, bits, strict=True)) and any(t < 6 for t in tally)
+    with pytest.raises(ValueError):
+        simhash.links(None, 3)
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.createDataFrame([(k % 50 if k % 3 else 7, k) for k in range(600)], "key long, v long")
+    side = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    for most in (1, 4, 10_000):
+        got = common.join_hot(rows, side, "key", "n", most).collect()
+        assert sorted((x.key, x.v, x.low) for x in got) == sorted((x.key, x.v, x.low) for x in rows.join(side, "key").collect())
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = list(range(n))

@@ -36,12 +36,14 @@ def words_of(text: Column) -> Column:
 def scratch_root(spark: SparkSession) -> str:
     """A folder of this application under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is missing (tests, one machine) a temporary folder of our own takes its place.
+    Only on one machine (``local`` masters, as in tests) a temporary folder takes its place where that setting is missing.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         _roots[app] = f"{base.rstrip('/')}/weftline-{app}"
         atexit.register(_drop, spark, _roots[app])
@@ -63,6 +65,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str, most: int = 10_000) -> DataFrame:
+    """``rows`` joined with ``side``, which has one row for each value of ``key`` and, in ``count``, how many rows have it.
+
+    Keys that hold more than one in ``most`` of all rows are ``most`` at most, so they are broadcast and their rows stay
+    where they are; the rows of all others are shuffled. Keys are not null. Both tables are stored ones: they are read twice.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * most > total
+    few = F.broadcast(side.where(hot).select(F.col(key).alias("_hot_key")))
+    met = rows.join(F.broadcast(side.where(hot)), key)
+    rest = rows.join(few, F.col(key) == F.col("_hot_key"), "left_anti").join(side.where(~hot), key)
+    return met.unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -2,9 +2,10 @@
 
 Two 64-bit fingerprints at a distance of at most two bits share at least six of their eight positional bytes. Postings
 of one (position, byte) each would be 2,048 lists whose pairs grow with the square of the input. A posting here names six
-positions and their bytes instead (28 choices of six positions): the pairs that meet in a list are exactly those whose
-tally of shared positional bytes reaches the guaranteed minimum, and each is then verified bit by bit. Members of a
-list differ in two bytes only, so even a list of thousands is linked inside a table of 65,536 places, never pair by pair.
+positions and their bytes instead (28 choices of six positions), so that pairs below the guaranteed minimum never meet.
+Of the pairs that meet in a list the shared positional bytes are tallied, those that reach the minimum are retained, and
+they alone are verified bit by bit. Members of a list differ in two bytes only, so in a list of thousands the pairs to tally
+are looked up in a table of 65,536 places, which never makes all pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import arrow_map, partitions, read_table, stored, texts
+from weftline.llm.common import arrow_map, join_hot, partitions, read_table, stored, texts
 
 SEED = 42
 SHINGLE = 3
@@ -61,11 +62,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, "doc_id long, fp long")
 
 
+def shared_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The tally of each pair: at how many of the eight positions both fingerprints have the same byte."""
+    return ((x ^ y)[..., None].view(np.uint8) == 0).sum(-1)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs are linked: their tally reaches the minimum that ``max_bits`` guarantee, and their bits verify it."""
+    out = shared_bytes(x, y) >= 8 - max_bits
+    out[out] = np.bitwise_count(x[out] ^ y[out]) <= max_bits
+    return out
+
+
 def _forest(fps: np.ndarray, free: tuple[int, int], max_bits: int) -> np.ndarray:
     """Pairs that connect whatever ``max_bits`` links among fingerprints equal but for two bytes; at most one a member."""
     n = len(fps)
     if n <= _SMALL:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= max_bits
+        near = _linked(*np.broadcast_arrays(fps[:, None], fps[None, :]), max_bits)
         a, b = np.nonzero(np.triu(near, 1))
         if len(a) < n:
             return np.stack([fps[a], fps[b]], 1)
@@ -80,24 +93,29 @@ def _forest(fps: np.ndarray, free: tuple[int, int], max_bits: int) -> np.ndarray
     value = value.astype(np.int64)
     member = np.full(1 << 16, -1, np.int64)
     member[value] = np.arange(n)
-    masks = [sum(1 << b for b in bits) for k in range(1, max_bits + 1) for bits in combinations(range(16), k)]
+    pairs = []
+    for m in (sum(1 << b for b in bits) for k in range(1, max_bits + 1) for bits in combinations(range(16), k)):
+        other = member[value ^ m]
+        mine = np.flatnonzero(other >= 0)
+        mine = mine[_linked(fps[mine], fps[other[mine]], max_bits)]
+        pairs.append((mine, other[mine]))
     label, old = np.arange(n), None
     while old is None or (label != old).any():
         old = label.copy()
-        for m in masks:
-            other = member[value ^ m]
-            there = other >= 0
-            np.minimum.at(label, np.flatnonzero(there), label[other[there]])
+        for mine, other in pairs:
+            np.minimum.at(label, mine, label[other])
         label = label[label]
     return np.stack([fps, fps[label]], 1)[label != np.arange(n)]
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b): pairs of different fingerprints that connect exactly what links of ``max_bits`` bits or fewer connect.
+    """(a, b): pairs of different fingerprints that connect exactly what links of ``max_bits`` (at most two) bits connect.
 
     Each fingerprint goes to its 28 postings. Lists are sorted on the JVM, where they may spill, and streamed through; a
     list has at most 65,536 members, as its two free bytes tell them apart.
     """
+    if not 0 <= max_bits <= 2:
+        raise ValueError("lists that leave two bytes free serve links of at most two bits")
     postings = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(~((255 << 8 * a) | (255 << 8 * b))))).alias("rest")) for k, (a, b) in enumerate(_FREE)]
     rows = distinct.select("fp", F.explode(F.array(*postings)).alias("p")).select(F.col("p.k").alias("k"), F.col("p.rest").alias("rest"), "fp")
     lists = rows.repartition(partitions(distinct.sparkSession), "k", "rest").sortWithinPartitions("k", "rest")
@@ -173,12 +191,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of null ids only has a null component_id. Repeated rows each get a row. Without rows there are none.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct.select("fp"), max_bits))
-    known = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = known.join(smallest, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    known = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "known")
+    smallest = stored(known.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("members")), "smallest")
+    by_fp = stored(join_hot(known, smallest, "root", "members").select("fp", "n", "component_id"), "by-fingerprint")
+    return join_hot(rows, by_fp, "fp", "n").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
