@@ -138,8 +138,47 @@ def test_shards_take_by_weight_and_move_inside_changed_subtrees(spark):
     assert abs((got.x == 4).mean() - 0.2) < 0.02 and abs((got.y == 4).mean() - 0.125) < 0.02
     moved = got[(got.x < 4) & (got.y < 4)]
     assert (moved.x == moved.y).all()  # below an unchanged rack nothing moves
-    grown = keys.select(hash_tree.descend(F.col("id"), hash_tree.layout(16)).alias("x"), hash_tree.descend(F.col("id"), hash_tree.layout(17)).alias("y")).toPandas()
-    assert abs((grown.y == 16).mean() - 1 / 17) < 0.01 and (grown[grown.x != grown.y].y == 16).all()
+
+
+def test_a_new_shard_takes_rows_only_into_itself_at_every_count(spark):
+    keys = spark.range(0, 6_000, 1, 1)
+    for k in [*range(1, 18), 23, 24, 31, 32, 63, 64]:
+        at = [hash_tree.place(F.col("id"), hash_tree.layout(n), n) for n in (k, k + 1)]
+        moved = keys.select(at[0].alias("a"), at[1].alias("b")).groupBy("a", "b").count().toPandas()
+        assert (moved[moved.a != moved.b].b == k).all() and moved.b.nunique() == k + 1
+        assert abs(moved[moved.b == k]["count"].sum() / 6_000 - 1 / (k + 1)) < 4 * math.sqrt(1 / (k + 1) / 6_000)
+    whole = spark.range(1000).select(hash_tree.place(F.col("id"), hash_tree.layout(16), 16).alias("x"), hash_tree.descend(F.col("id"), hash_tree.layout(16)).alias("y")).toPandas()
+    assert (whole.x == whole.y).all()  # a full tree is descended level by level
+
+
+def _placed(key: int | None, shards: int) -> int:
+    """One key's shard by draws of all places, one by one."""
+    room = hash_tree.layout(shards)
+
+    def u(name):
+        h = DRAWS[key, name] >> 12 & (1 << 52) - 1
+        return -math.log((h + 0.5) / 2**52)
+
+    def leaves(node, m):
+        if node.shard is not None:
+            return [(m, node.shard)]
+        x = [u(c.name) / c.weight for c in node.children]
+        return [y for c, v in zip(node.children, x, strict=True) for y in leaves(c, m + (v - min(x)))]
+
+    return min(y for r in room for y in leaves(r, u(r.name) / r.weight) if y[1] < shards)[1]
+
+
+DRAWS: dict = {}
+
+
+def test_places_match_brute_force(spark):
+    names = [f"{x}{k}" for x in "rks" for k in range(24)]
+    keys = spark.range(40).select(F.when(F.col("id") > 0, F.col("id")).alias("key"))
+    for r in keys.select("key", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.xxhash64("key", F.lit(n)).alias("h")) for n in names])).alias("x")).collect():
+        DRAWS[r.key, r.x.n] = r.x.h
+    for shards in (1, 3, 4, 7, 8, 11, 16, 17, 23):
+        for r in keys.select("key", hash_tree.place(F.col("key"), hash_tree.layout(shards), shards).alias("x")).collect():
+            assert r.x == _placed(r.key, shards)
 
 
 # --- 3

@@ -5,7 +5,10 @@ draws ``-ln(u) / weight`` with ``u`` hashed from the row's key and the child's n
 child takes rows in proportion to its weight. A draw depends on nothing but key, child and weight: when weights change,
 a row moves only at a node on the way to a changed subtree, and rows below unchanged subtrees stay where they are.
 
-A new shard opens a rack (or region) of its own whenever the last one is full; it then takes rows only into itself.
+Shards are the first places of a tree of full racks and regions; of the last region some places may still be empty. There
+each child's draw is its node's draw plus what the child is behind the node's best child. So the draws of all places,
+filled or empty, are what they would be if each were drawn alone, and the smallest of the filled ones wins. Filling
+one more place, at any number of shards, can only make that place the smallest: a new shard takes rows only into itself.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import partitions, read_table
+from weftline.llm.common import partitions, read_table, stored
 
 SHARDS = 16
 
@@ -29,10 +32,11 @@ class Node:
 
 
 def layout(shards: int, per_rack: int = 4, racks: int = 2) -> tuple[Node, ...]:
-    """The regions of ``shards`` equal shards: racks of ``per_rack``, regions of ``racks`` racks, filled in turn."""
+    """Whole regions with a place for each of ``shards`` equal shards: racks of ``per_rack``, regions of ``racks`` racks."""
     if shards < 1:
         raise ValueError("a layout needs a shard")
-    leaves = [Node(f"s{k}", 1.0, shard=k) for k in range(shards)]
+    room = per_rack * racks
+    leaves = [Node(f"s{k}", 1.0, shard=k) for k in range(-(-shards // room) * room)]
     for level, width in (("k", per_rack), ("r", racks)):
         parts = [tuple(leaves[at : at + width]) for at in range(0, len(leaves), width)]
         leaves = [Node(f"{level}{k}", sum(x.weight for x in part), part) for k, part in enumerate(parts)]
@@ -57,32 +61,64 @@ def descend(key: Column, nodes: tuple[Node, ...]) -> Column:
     return out
 
 
+def _filled(node: Node, shards: int) -> tuple[int, int]:
+    """How many of a node's places are filled, and how many it has."""
+    if node.shard is not None:
+        return int(node.shard < shards), 1
+    return tuple(map(sum, zip(*(_filled(c, shards) for c in node.children), strict=True)))
+
+
+def _contenders(key: Column, nodes: tuple[Node, ...], drawn: list[Column], shards: int) -> list[tuple[Column, Column]]:
+    """(draw, shard) of full subtrees and single places: the smallest draw of ``nodes`` is among theirs."""
+    out = []
+    for node, d in zip(nodes, drawn, strict=True):
+        n, room = _filled(node, shards)
+        if n == room:
+            out.append((d, F.lit(node.shard).cast("int") if node.shard is not None else descend(key, node.children)))
+        elif n:
+            own = [draw(key, c) for c in node.children]
+            low = F.least(*own) if len(own) > 1 else own[0]
+            out += _contenders(key, node.children, [d + (x - low) for x in own], shards)
+    return out
+
+
+def place(key: Column, nodes: tuple[Node, ...], shards: int) -> Column:
+    """The shard of ``key`` where the first ``shards`` places of the tree are filled. A null key is a key like any other."""
+    found = _contenders(key, nodes, [draw(key, n) for n in nodes], shards)
+    if len(found) == 1:
+        return found[0][1]
+    best = F.array_min(F.array(*[F.struct(d.alias("draw"), F.lit(k).alias("at")) for k, (d, _) in enumerate(found)]))["at"]
+    out = F.when(best == 0, found[0][1])
+    for k, (_, shard) in enumerate(found[1:], 1):
+        out = out.when(best == k, shard)
+    return out
+
+
 def shard_rows(rows: DataFrame, key: str, shards: int, *, grown: bool = False) -> DataFrame:
     """``rows`` with ``shard`` (int), and ``grown_shard`` if asked: where the row would be with one more shard.
 
     Both depend on the key and the number of shards alone. Existing columns of these names are replaced.
     """
-    out = rows.withColumn("shard", descend(F.col(key), layout(shards)))
-    return out.withColumn("grown_shard", descend(F.col(key), layout(shards + 1))) if grown else out
+    out = rows.withColumn("shard", place(F.col(key), layout(shards), shards))
+    return out.withColumn("grown_shard", place(F.col(key), layout(shards + 1), shards + 1)) if grown else out
 
 
-def number_slots(rows: DataFrame, counted: DataFrame, by: str, order: list[str], buckets: int) -> DataFrame:
-    """``rows`` with ``slot``: 0, 1, ... without gaps inside each value of ``by``.
+def number_slots(rows: DataFrame, by: str, buckets: int) -> DataFrame:
+    """``rows``, a stored table with a distinct ``_uid`` each, with ``slot``: 0, 1, ... without gaps inside each ``by``.
 
-    A shard may hold any share of all rows, so none is numbered in one task: rows are numbered inside ``buckets``
-    hashed parts of a shard, and a part begins where the counts of the parts before it end. ``counted`` has at least
-    the columns ``by`` and ``order[0]`` of the same rows; the two scans agree as both depend on row content alone.
+    A shard may hold any share of all rows, and so may a key or a text, so none is numbered in one task: rows are numbered
+    inside ``buckets`` parts of a shard, dealt by ``_uid``, and a part begins where the counts of the parts before it end.
     """
-    part = F.pmod(F.xxhash64(F.col(order[0])), F.lit(buckets)).cast("int")
-    sizes = counted.groupBy(F.col(by).alias("_by"), part.alias("_part")).agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64("_uid"), F.lit(buckets)).cast("int")
+    sizes = rows.groupBy(F.col(by).alias("_by"), part.alias("_part")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_by").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over ``buckets`` counts
     begins = sizes.select("_by", F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    inside = F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(by, "_part").orderBy("_uid"))
     numbered = rows.withColumn("_part", part).withColumn("_row", inside.cast("long") - 1)
     return (
         numbered.join(F.broadcast(begins), (F.col(by) == F.col("_by")) & (F.col("_part") == F.col("_p")))  # shards x buckets rows
         .withColumn("slot", F.col("_row") + F.col("_begin"))
-        .drop("_by", "_part", "_p", "_row", "_begin")
+        .drop("_by", "_part", "_p", "_row", "_begin", "_uid")
     )
 
 
@@ -98,12 +134,11 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
         F.lit("key").alias("law"),
+        F.monotonically_increasing_id().alias("_uid"),
     )
-    rows = shard_rows(rows, "doc_id", shards, grown=True)
-    keys = shard_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", shards)  # reads no text
+    rows = stored(shard_rows(rows, "doc_id", shards, grown=True), "sharded")  # some twenty bytes a row; fixes _uid
     buckets = max(8, partitions(docs.sparkSession))
-    out = number_slots(rows, keys, "shard", ["doc_id", "size", "text_crc32"], buckets)
-    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return number_slots(rows, "shard", buckets).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
