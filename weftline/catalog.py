@@ -490,13 +490,35 @@ def q49(spark: SparkSession, d: str) -> DataFrame:
     return traffic.match(_points(spark, d), traffic.grid(_segments(spark))).select("event_id", "road_id")
 
 
-@query("q50_speed_reference")
+def _speed_sql(window: int) -> str:
+    """Common tables from ``e`` (key, ord, speed, k: 1, 2, ... in a key) on: ``r`` has a road's state after each tuple."""
+    return f"""r(key, ord, k, q, total, squares, average) AS (
+  SELECT key, ord, k, [speed], speed, speed * speed, speed FROM e WHERE k = 1
+  UNION ALL
+  SELECT key, ord, k, CASE WHEN take THEN list_append(q, speed) ELSE q END, CASE WHEN take THEN total + speed ELSE total END, CASE WHEN take THEN squares + speed * speed ELSE squares END,
+    CASE WHEN n <= 1 THEN (total + speed) / (n + 1) WHEN take THEN mean ELSE average END
+  FROM (SELECT *, n <= 1 OR (spread >= 0 AND abs(speed - mean) <= 2 * sqrt(greatest(spread, 0))) AS take
+    FROM (SELECT *, ((squares + speed * speed) - (n + 1) * mean * mean) / n + 1 AS spread
+      FROM (SELECT *, (total + speed) / n + 1 AS mean
+        FROM (SELECT e.key, e.ord, e.k, e.speed, CASE WHEN len(r.q) > {window} - 1 THEN r.q[2:] ELSE r.q END AS q, CASE WHEN len(r.q) > {window} - 1 THEN len(r.q) - 1 ELSE len(r.q) END AS n,
+          CASE WHEN len(r.q) > {window} - 1 THEN r.total - r.q[1] ELSE r.total END AS total, r.squares, r.average FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)))))"""
+
+
+@query("q50_speed_reference", f"WITH RECURSIVE e AS (SELECT CAST(user_id AS BIGINT) AS key, CAST(event_id AS BIGINT) AS ord, CAST(value AS DOUBLE) AS speed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), {_speed_sql(50)} SELECT key, ord, average FROM r")
 def q50(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("road_id"), F.col("value").alias("speed"))
     return traffic.speeds(e, window=50)
 
 
-@query("q51_traffic")
+_BOX = "y BETWEEN 39.689602 AND 40.122410 AND x BETWEEN 116.105789 AND 116.670021 AND speed >= 0"
+
+
+@query(
+    "q51_traffic",
+    f"WITH RECURSIVE {_ROADS}, hit AS (SELECT coalesce(hit, near) AS key, p.event_id AS ord, CAST(p.speed AS DOUBLE) AS speed FROM p JOIN b USING (event_id) WHERE {_BOX} AND coalesce(hit, near, -1) <> -1), "
+    f"e AS (SELECT CAST(key AS BIGINT) AS key, ord, speed, row_number() OVER (PARTITION BY key ORDER BY ord) AS k FROM hit), {_speed_sql(traffic.WINDOW)} "
+    "SELECT key AS road_id, CAST(count(*) AS BIGINT) AS n, round(arg_max(average, ord), 6) AS last_average FROM r GROUP BY key",
+)
 def q51(spark: SparkSession, d: str) -> DataFrame:
     return traffic.monitor(_points(spark, d), _segments(spark))
 
