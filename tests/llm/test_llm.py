@@ -142,7 +142,7 @@ def test_shards_take_by_weight_and_move_inside_changed_subtrees(spark):
 
 def test_a_new_shard_takes_rows_only_into_itself_at_every_count(spark):
     keys = spark.range(0, 6_000, 1, 1)
-    for k in [*range(1, 18), 23, 24, 31, 32, 63, 64]:
+    for k in (1, 2, 3, 4, 7, 8, 11, 15, 16, 17, 24, 64):
         at = [hash_tree.place(F.col("id"), hash_tree.layout(n), n) for n in (k, k + 1)]
         moved = keys.select(at[0].alias("a"), at[1].alias("b")).groupBy("a", "b").count().toPandas()
         assert (moved[moved.a != moved.b].b == k).all() and moved.b.nunique() == k + 1
