@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from math import sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.geo import cell_key, metres, segment_distance
+from weftline.functions.geo import KM_PER_DEGREE, cell_key, metres, segment_distance
+from weftline.operators.nodes import in_box, running
 
 #: Bounding boxes (south, north, west, east), a road's width, how far off it a position may be, the window.
 BEIJING = (39.689602, 40.122410, 116.105789, 116.670021)
@@ -19,8 +20,10 @@ DUBLIN = (53.28006, 53.406071, -6.381911, -6.141994)
 ROAD_WIDTH = 5.0
 REACH = sqrt(5.0**2 + 10.0**2)
 WINDOW = 1000
-#: Segments up to this number are broadcast; more are joined by a shuffle.
+#: Rows of (segment, square) up to this number are broadcast (some sixty bytes each); more are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
+#: The side of a square by which points and segments meet, in degrees.
+SQUARE = 0.001
 
 
 def grid(segments: DataFrame, drop_first: bool = True) -> DataFrame:
@@ -37,12 +40,37 @@ def grid(segments: DataFrame, drop_first: bool = True) -> DataFrame:
     return segments.join(placed, (F.col("road_id") == F.col("_road")) & (F.col("file_order") == F.col("_file"))).drop("_road", "_file")
 
 
+def _squares(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The squares of SQUARE degrees that lie within reach of a segment, as (sx, sy): column by column, so that their
+    number grows with the segment's length."""
+    room = F.lit(REACH / 1000 / KM_PER_DEGREE * 1.001)
+    index = lambda v: F.floor(v / SQUARE).cast("int")
+    dx, dy = x2 - x1, y2 - y1
+
+    def part(edge: Column) -> Column:
+        """Where on the segment, 0 to 1, its x is ``edge``."""
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (edge - x1) / dx))
+
+    def column(i: Column) -> Column:
+        a, b = part(i * SQUARE - room), part((i + 1) * SQUARE + room)
+        upright = F.abs(dx) < 1e-12
+        ya, yb = F.when(upright, y1).otherwise(y1 + a * dy), F.when(upright, y2).otherwise(y1 + b * dy)
+        rows = F.sequence(index(F.least(ya, yb) - room), index(F.greatest(ya, yb) + room))
+        return F.transform(rows, lambda j: F.struct(i.alias("sx"), j.alias("sy")))
+
+    return F.flatten(F.transform(F.sequence(index(F.least(x1, x2) - room), index(F.greatest(x1, x2) + room)), column))
+
+
 def match(points: DataFrame, cells: DataFrame, key: str = "event_id", x: str = "longitude", y: str = "latitude") -> DataFrame:
-    """``points`` with ``road_id``: the first road in file order nearer than half its width, else the nearest within reach, else -1."""
-    small = cells.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
-    roads = cells.select(F.col("cell").alias("_cell"), F.col("road_id").alias("_road"), "file_order", "x1", "y1", "x2", "y2")
-    at = points.select(F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), cell_key(F.col(y), F.col(x)).alias("_at"))
-    near = at.join(F.broadcast(roads) if small else roads, F.col("_at") == F.col("_cell"))
+    """``points`` with ``road_id``: the first road in file order nearer than half its width, else the nearest within reach, else -1.
+
+    A point is held against the segments of its own cell that come near its square of some hundred metres; squares are
+    joined, so neither a city's cell nor a long road makes a hot key.
+    """
+    roads = cells.select(F.col("cell").alias("_cell"), F.col("road_id").alias("_road"), "file_order", "x1", "y1", "x2", "y2", F.explode(_squares(*map(F.col, ("x1", "y1", "x2", "y2")))).alias("_s")).select("*", "_s.sx", "_s.sy").drop("_s")
+    small = roads.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
+    at = points.select(F.col(key).alias("_key"), F.col(x).alias("_x"), F.col(y).alias("_y"), cell_key(F.col(y), F.col(x)).alias("_at"), F.floor(F.col(x) / SQUARE).cast("int").alias("_sx"), F.floor(F.col(y) / SQUARE).cast("int").alias("_sy"))
+    near = at.join(F.broadcast(roads) if small else roads, (F.col("_sx") == F.col("sx")) & (F.col("_sy") == F.col("sy")) & (F.col("_at") == F.col("_cell")))
     near = near.withColumn("d", metres(segment_distance(F.col("_x"), F.col("_y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))).where(F.col("d") < REACH)
     best = near.groupBy("_key").agg(
         F.min_by("_road", F.when(F.col("d") < ROAD_WIDTH / 2, F.col("file_order"))).alias("hit"),
@@ -118,12 +146,19 @@ def speeds(tuples: DataFrame, key: str = "road_id", order: str = "event_id", spe
 
 def monitor(points: DataFrame, segments: DataFrame, box: tuple[float, float, float, float] = BEIJING, corrected: bool = False, order: str = "event_id") -> DataFrame:
     """(road_id, n, last_average): positions in the box, matched to roads; per road how many and the last average."""
-    south, north, west, east = box
-    inside = points.where(F.col("latitude").between(south, north) & F.col("longitude").between(west, east) & (F.col("speed") >= 0))
-    matched = match(inside, grid(segments), order).where("road_id <> -1")
+    matched = match(points.where(in_box("latitude", "longitude", "speed", box)), grid(segments), order).where("road_id <> -1")
     return speeds(matched, order=order, corrected=corrected).groupBy(F.col("key").alias("road_id")).agg(F.count("*").alias("n"), F.round(F.max_by("average", "ord"), 6).alias("last_average"))
 
 
-def recent_average(df: DataFrame, key: str, order: str, value: str, rows: int) -> DataFrame:
-    """``df`` with ``avg_recent``: the mean over the key's last ``rows`` items, this one included."""
-    return df.withColumn("avg_recent", F.avg(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(1 - rows, 0)))
+def recent_average(df: DataFrame, key: str, order: str, value: str, rows: int, chunk: int = 1 << 20) -> DataFrame:
+    """``df`` with ``avg_recent``: the mean over the key's last ``rows`` items, this one included.
+
+    A key's items are numbered, in blocks, and dealt out in chunks of ``chunk``; each chunk also gets the last items of the
+    one before it, so a key of any size is no single task's.
+    """
+    placed = running(df, key, order, chunk, _place=F.lit(1).cast("long"))
+    at = F.floor((F.col("_place") - 1) / chunk)
+    more = F.when(F.pmod(F.col("_place") - 1, F.lit(chunk)) >= chunk - (rows - 1), F.array(at, at + 1)).otherwise(F.array(at))
+    dealt = placed.withColumn("_chunk", F.explode(more)).withColumn("_own", F.col("_chunk") == at)
+    mean = F.avg(value).over(Window.partitionBy(key, "_chunk").orderBy("_place").rowsBetween(1 - rows, 0))
+    return dealt.withColumn("avg_recent", mean).where("_own").drop("_place", "_chunk", "_own")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import cut_word, space_tokens
+from weftline.operators.nodes import order_block
 from weftline.sources.readers import text_lines
 
 
@@ -21,21 +22,20 @@ def totals(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(tokens).alias("word")).groupBy(cut_word("word").alias("word")).agg(F.count("*").alias("cnt"))
 
 
-def running(docs: DataFrame, split: int = 16) -> DataFrame:
+def running(docs: DataFrame, block_docs: int = 20_000) -> DataFrame:
     """(doc_id, line, pos, word, id): the running count of every word, in the order of the text.
 
-    A word may be a large share of all words. Each is numbered within ``split`` ranges of documents and a range starts
-    from the word's counts in the ranges before it.
+    A word may be a large share of all words. Each is numbered within blocks of about ``block_docs`` documents and a block
+    starts from the word's counts in those before it. Words are split and shuffled once: both levels read one exchange.
     """
-    found = words(docs)
-    bounds = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    size = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / split), F.lit(1))
-    found = found.join(F.broadcast(bounds)).withColumn("_range", F.floor((F.col("key") - F.col("lo")) / size)).drop("lo", "hi")
-    counts = found.groupBy("word", "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("word").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    begins = counts.select("word", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    inside = F.row_number().over(Window.partitionBy("word", "_range").orderBy("key", "line", "pos"))
-    return found.withColumn("_row", inside).join(begins, ["word", "_range"]).select(F.col("key").alias("doc_id"), "line", "pos", "word", (F.col("_begin") + F.col("_row")).alias("id"))
+    found = words(docs).withColumn("_block", order_block(docs.select(F.col("doc_id").alias("key")), "key", block_docs))
+    group = Window.partitionBy("word", "_block")
+    placed = found.withColumns({"_row": F.row_number().over(group.orderBy("key", "line", "pos")), "_n": F.count(F.lit(1)).over(group)})
+    before = Window.partitionBy("_word").orderBy("_bl").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.where("_row = 1").select(F.col("word").alias("_word"), F.col("_block").alias("_bl"), "_n")
+    begins = counts.select("_word", "_bl", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    joined = placed.join(begins, (F.col("word") == F.col("_word")) & (F.col("_block") == F.col("_bl")))
+    return joined.select(F.col("key").alias("doc_id"), "line", "pos", "word", (F.col("_begin") + F.col("_row")).alias("id"))
 
 
 def summary(docs: DataFrame) -> DataFrame:

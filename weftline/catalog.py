@@ -289,8 +289,8 @@ def q34(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q35_running_state", "SELECT event_id, user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS id FROM events")
 def q35(spark: SparkSession, d: str) -> DataFrame:
-    e = nodes.running_count(table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint")), "user_id", ["event_id"])
-    return e.withColumn("total", F.expr("sum(cents) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")).select("event_id", "user_id", "total", "id")
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    return nodes.running(e, "user_id", "event_id", total=F.round(F.col("value") * 100).cast("bigint"), id=F.lit(1).cast("long")).select("event_id", "user_id", "total", "id")
 
 
 @query("q36_count_window", "SELECT event_id, user_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS avg_recent FROM events")

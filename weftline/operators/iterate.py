@@ -13,11 +13,19 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and kept in the checkpoint folder that the session names; its lineage ends there."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Only on one machine a temporary folder may take its place."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not folder and context.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or f"file://{tempfile.mkdtemp(prefix='weftline-')}"
+
+
 def feedback(seeds: DataFrame, body: Callable[[DataFrame], DataFrame], most_rounds: int = 10_000, distinct: list[str] | None = None) -> DataFrame:
     """All items that pass the head of a loop: the seeds, and what ``body`` sends back, until nothing is sent back.
 
@@ -28,22 +36,22 @@ def feedback(seeds: DataFrame, body: Callable[[DataFrame], DataFrame], most_roun
         seeds = seeds.dropDuplicates(distinct)
     front = cut(seeds)
     done = [front]
-    seen = front
     for _ in range(most_rounds):
         new = body(front).select(*front.columns)
         if distinct:
-            new = new.dropDuplicates(distinct).join(seen.select(*distinct), distinct, "left_anti").select(*front.columns)
+            new = new.dropDuplicates(distinct).join(_union(done).select(*distinct), distinct, "left_anti").select(*front.columns)
         front = cut(new)
         if front.isEmpty():
-            break
-        done.append(front)
-        if distinct:
-            seen = cut(seen.unionByName(front))
-        elif len(done) > 16:  # a long chain of unions slows planning
-            done = [cut(_union(done))]
-    else:
-        raise RuntimeError("the loop did not end")
-    return seen if distinct else _union(done)
+            return _union(done)
+        done = _append(done, front)
+    raise RuntimeError("the loop did not end")
+
+
+def _append(parts: list[DataFrame], new: DataFrame, most: int = 16) -> list[DataFrame]:
+    """``parts`` and one more. What earlier rounds found is not written again, but for once in ``most`` rounds, when the
+    parts become one, as a long chain of unions slows planning."""
+    parts = [*parts, new]
+    return [cut(_union(parts))] if len(parts) > most else parts
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -57,21 +65,24 @@ def search_graph(vertices: DataFrame, edges: DataFrame, start: int, target: obje
     """(id): vertices reachable from ``start``, itself included, whose element is ``target``.
 
     With ``first_only`` the search ends in the round of the first match and gives that match with the smallest id. Every
-    vertex is expanded once.
+    vertex is expanded once. Edges are dealt out by their source once, and rounds join them where they are.
     """
     spark = vertices.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = cut(edges.select(F.col("src").cast("long").alias("id"), F.col("dst").cast("long").alias("dst")).repartition(parts, "id"))
     front = cut(spark.range(1).select(F.lit(start).cast("long").alias("id")).join(vertices.select(F.col("id").cast("long")), "id"))
-    seen = front
+    seen = [front]
     matches = vertices.where(F.col("elem") == F.lit(target)).select(F.col("id").cast("long").alias("id"))
     while not front.isEmpty():
         if first_only:
             hit = front.join(matches, "id").agg(F.min("id").alias("id")).where("id IS NOT NULL")
             if not hit.isEmpty():
                 return hit
-        step = edges.select(F.col("src").cast("long").alias("id"), F.col("dst").cast("long").alias("dst")).join(front, "id").select(F.col("dst").alias("id")).distinct()
-        front = cut(step.join(seen, "id", "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen.join(matches, "id").limit(0) if first_only else seen.join(matches, "id")
+        step = links.join(front, "id").select(F.col("dst").alias("id")).distinct()
+        front = cut(step.join(_union(seen), "id", "left_anti"))
+        seen = _append(seen, front)
+    found = _union(seen).join(matches, "id")
+    return found.limit(0) if first_only else found
 
 
 def divide_and_conquer(ops: DataFrame, is_base: Column, divide: Column, solve: Column, combine: Callable[[Column], Column], most_levels: int = 500) -> DataFrame:

@@ -61,22 +61,48 @@ def in_box(latitude: str, longitude: str, speed: str, box: tuple[float, float, f
     return F.col(latitude).between(south, north) & F.col(longitude).between(west, east) & (F.col(speed) >= 0)
 
 
-def running_count(df: DataFrame, key: str, order: list[str], name: str = "id") -> DataFrame:
-    """How often the key has occurred so far, this item included."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.count(F.lit(1)).over(w))
+#: Rows of one key and block that one task counts.
+BLOCK_ROWS = 1 << 20
+
+
+def order_block(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> Column:
+    """The block of an item: a range of ``order``, as many ranges as give each about ``rows`` items of ``df``.
+
+    Ranges are of equal width, so ``order`` should be a number that is spread evenly, as sequence numbers are.
+    """
+    lo, hi, n = df.agg(F.min(order), F.max(order), F.count(order)).first()
+    if not n:
+        return F.lit(0).cast("long")
+    width = max(1, -(-(int(hi) - int(lo) + 1) // max(1, -(-n // rows))))
+    return F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("long")
 
 
-def epochs(df: DataFrame, is_write: Column, order: str, blocks: int = 64) -> DataFrame:
-    """``df`` with ``epoch``: the number of writes before the item, in ``order``. Reads of one epoch see the same state.
+def running(df: DataFrame, key: Column | str | None, order: str, rows: int = BLOCK_ROWS, **values: Column) -> DataFrame:
+    """``df`` with a running sum of each of ``values`` over the key's items in ``order``, this one included.
 
-    The count runs over the whole stream. It is taken within ranges of ``order``, each counted on its own, and a range
-    starts from the sum of those before it, so no task sees the whole stream.
+    A key, or without one the whole stream, is summed in two levels: blocks of ``order`` each for itself, and a block
+    starts from the totals of those before it. So no task sees a whole key, and the keys' totals are combined before they
+    are shuffled. ``order`` must tell a key's items apart.
     """
-    bounds = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    size = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / blocks), F.lit(1))
-    cut = df.join(F.broadcast(bounds)).withColumn("_block", F.floor((F.col(order) - F.col("lo")) / size)).drop("lo", "hi").withColumn("_write", F.when(is_write, 1).otherwise(0))
-    totals = cut.groupBy("_block").agg(F.sum("_write").alias("_w"))
-    begins = totals.select("_block", (F.sum("_w").over(Window.orderBy("_block")) - F.col("_w")).alias("_begin"))  # ``blocks`` rows
-    inside = F.sum("_write").over(Window.partitionBy("_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_write")
-    return cut.withColumn("_inside", inside).join(F.broadcast(begins), "_block").withColumn("epoch", F.col("_begin") + F.col("_inside")).drop("_block", "_write", "_inside", "_begin")
+    names = list(values)
+    cut = df.withColumns({"_key": F.lit(0) if key is None else F.col(key) if isinstance(key, str) else key, "_block": order_block(df, order, rows), **{f"_v_{n}": v for n, v in values.items()}})
+    totals = cut.groupBy("_key", "_block").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    before = Window.partitionBy("_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    begins = totals.select("_key", "_block", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in names])
+    begins = begins.select(F.col("_key").alias("_k"), F.col("_block").alias("_bl"), *[f"_b_{n}" for n in names])
+    inside = Window.partitionBy("_key", "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = cut.withColumns({f"_s_{n}": F.sum(f"_v_{n}").over(inside) for n in names})
+    joined = summed.join(begins, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_block").eqNullSafe(F.col("_bl")))
+    return joined.select(*[c for c in df.columns if c not in names], *[(F.col(f"_b_{n}") + F.col(f"_s_{n}")).alias(n) for n in names])
+
+
+def running_count(df: DataFrame, key: str, order: str, name: str = "id", rows: int = BLOCK_ROWS) -> DataFrame:
+    """How often the key has occurred so far, this item included."""
+    return running(df, key, order, rows, **{name: F.lit(1).cast("long")})
+
+
+def epochs(df: DataFrame, is_write: Column, order: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with ``epoch``: the number of writes before the item, in ``order``. Reads of one epoch see the same state."""
+    write = F.when(is_write, 1).otherwise(0).cast("long")
+    out = running(df.withColumn("_write", write), None, order, rows, epoch=F.col("_write"))
+    return out.withColumn("epoch", F.col("epoch") - F.col("_write")).drop("_write")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.nodes import running
+
 
 def round_robin(seq: Column | str, workers: int) -> Column:
     """Items go to workers 0, 1, ... in turn, by their place in the stream."""
@@ -40,8 +42,9 @@ def multicast(df: DataFrame, targets: Column) -> DataFrame:
 def even_odd(df: DataFrame, value: str, order: str, evens: int, odds: int) -> DataFrame:
     """Even values round-robin over workers 0 to ``evens`` - 1, odd ones over the ``odds`` workers after those."""
     parity = F.pmod(F.col(value), F.lit(2))
-    place = F.row_number().over(Window.partitionBy(parity).orderBy(order)) - 1
-    return df.withColumn("worker", F.when(parity == 0, place % evens).otherwise(evens + place % odds).cast("int"))
+    placed = running(df.withColumn("_parity", parity), "_parity", order, _place=F.lit(1).cast("long"))
+    place = F.col("_place") - 1
+    return placed.withColumn("worker", F.when(F.col("_parity") == 0, place % evens).otherwise(evens + place % odds).cast("int")).drop("_place", "_parity")
 
 
 def scatter(df: DataFrame, index: str, total: int, lefts: int, rights: int) -> DataFrame:
@@ -62,9 +65,12 @@ def gather_any(channels: list[DataFrame]) -> DataFrame:
 
 
 def gather_all(df: DataFrame, channel: str, order: str, value: str, channels: int) -> DataFrame:
-    """Positional zip: row k has the k-th item of every channel, null for channels that have ended, as an array by channel."""
-    place = F.row_number().over(Window.partitionBy(channel).orderBy(order)) - 1
-    placed = df.select(F.col(channel).alias("_channel"), F.col(value).alias("_value"), place.cast("long").alias("seq"))
+    """Positional zip: row k has the k-th item of every channel, null for channels that have ended, as an array by channel.
+
+    Items are numbered in blocks of ``order``, so a channel is never numbered in one task.
+    """
+    numbered = running(df.select(F.col(channel).alias("_channel"), F.col(value).alias("_value"), F.col(order).alias("_order")), "_channel", "_order", seq=F.lit(1).cast("long"))
+    placed = numbered.select("_channel", "_value", (F.col("seq") - 1).alias("seq"))
     cells = [F.max(F.when(F.col("_channel") == k, F.col("_value"))) for k in range(channels)]
     live = [F.count_if(F.col("_channel") == k) > 0 for k in range(channels)]
     return placed.groupBy("seq").agg(F.array(*cells).alias("items"), sum((x.cast("int") for x in live[1:]), live[0].cast("int")).alias("live"))

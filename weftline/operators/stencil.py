@@ -15,18 +15,23 @@ Neighbours = dict[tuple[int, int], Column]
 def neighbourhood(grid: DataFrame, offsets: list[tuple[int, int]], tile: int = 64, carry: list[str] | None = None) -> DataFrame:
     """``grid`` with a column ``n_{di}_{dj}`` for the value at each offset, null beyond the border.
 
-    Cells are sent to the cells that read them and summed up by one aggregation over (i, j): as many rows as offsets,
-    combined before they are shuffled by tiles of ``tile`` rows, so neighbours meet without a join for each offset.
+    A cell goes to its tile of ``tile`` by ``tile`` cells and, if it lies at the tile's edge, to the tiles that read it
+    there: little more than one row a cell is shuffled, by tile. Inside a tile cells meet in one aggregation, which needs
+    no other shuffle, and no join for each offset.
     """
     carry = carry or []
-    targets = F.array(*[F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.lit(k).alias("k")) for k, (di, dj) in enumerate(offsets)])
-    sent = grid.select("v", *carry, F.explode(targets).alias("t")).select("t.i", "t.j", "t.k", "v", *carry)
     own = offsets.index((0, 0)) if (0, 0) in offsets else None
     if own is None:
         raise ValueError("the cell itself must be among the offsets")
+    tile_of = lambda c, d: F.floor((F.col(c) - d) / tile).cast("int")
+    readers = F.array_distinct(F.array(*[F.struct(tile_of("i", di).alias("ti"), tile_of("j", dj).alias("tj")) for di, dj in offsets]))
+    dealt = grid.select("i", "j", "v", *carry, F.explode(readers).alias("t")).select("t.ti", "t.tj", "i", "j", "v", *carry).repartition("ti", "tj")
+    targets = F.array(*[F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.lit(k).alias("k")) for k, (di, dj) in enumerate(offsets)])
+    inside = F.filter(targets, lambda t: (F.floor(t["i"] / tile) == F.col("ti")) & (F.floor(t["j"] / tile) == F.col("tj")))
+    sent = dealt.select("ti", "tj", "v", *carry, F.explode(inside).alias("t")).select("ti", "tj", "t.i", "t.j", "t.k", "v", *carry)
     cells = [F.max(F.when(F.col("k") == k, F.col("v"))).alias(_name(o)) for k, o in enumerate(offsets)]
     kept = [F.max(F.when(F.col("k") == own, F.col(c))).alias(c) for c in carry]
-    return sent.groupBy("i", "j").agg(*cells, *kept, F.max(F.when(F.col("k") == own, F.lit(1))).alias("_in")).where("_in = 1").drop("_in")
+    return sent.groupBy("ti", "tj", "i", "j").agg(*cells, *kept, F.max(F.when(F.col("k") == own, F.lit(1))).alias("_in")).where("_in = 1").drop("_in", "ti", "tj")
 
 
 def _name(offset: tuple[int, int]) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.operators.iterate import shared_folder as checkpoint_folder
 from weftline.plans.graph import Node, Pipeline, TopologyError, validate
 from weftline.plans.lower import run
 
@@ -21,8 +21,7 @@ KEY_COUNT = "key string, seen long"
 
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: under the session's checkpoint folder, where it has one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='weftline-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 1) -> DataFrame:
