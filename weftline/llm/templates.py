@@ -173,10 +173,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
     return both.where(F.col("consistency") >= p["consistency"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = None) -> DataFrame:
-    """``docs``, all columns, without documents that contain an item. Rows with a null doc_id stay, as nothing names them."""
-    found = contaminated(docs, benchmark, params).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("_found"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = None, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``docs``, all columns, without documents that contain an item.
+
+    Rows are named by a hash of doc_id and text, so a row without doc_id has a verdict like any other, and so has each of
+    several texts under one id. The names of what goes are broadcast up to ``broadcast_rows``: no text is shuffled.
+    """
+    name = F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    found = stored(contaminated(docs.select(name.alias("doc_id"), "text"), benchmark, params).select(F.col("doc_id").alias("_found")).distinct(), "found")
+    few = F.broadcast(found) if found.count() <= broadcast_rows else found
+    return docs.withColumn("_name_of_row", name).join(few, F.col("_name_of_row") == F.col("_found"), "left_anti").drop("_name_of_row")
 
 
 def op1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
