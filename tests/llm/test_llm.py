@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -106,6 +107,86 @@ def test_templates_find_items_without_windows(spark):
     assert set(got) == {(k, k) for k in range(4)} and all(r.exact for r in got.values())
 
 
+def template(text: str) -> list[str]:
+    t = regex.sub("[\x01\x02]", " ", text or "")
+    names = "(?<=[\\p{L}\\p{N},;] )(?=\\p{Lu}\\p{L})|\\b(?=(?:" + "|".join(templates.GIVEN_NAMES) + ")\\b)"
+    if re.search("[0-9]", t):
+        t = regex.sub("([0-9]) ?(" + "|".join(sorted(templates.UNITS, key=len, reverse=True)) + ")(?![\\p{L}\\p{N}])", "\\1 \x02\\2", t)
+    return regex.findall("[\x01\x02]?(?:[0-9]+(?:[.,][0-9]+)*|[\\p{L}\\p{M}]+)", regex.sub(names, "\x01", t).lower())
+
+
+def kind(w: str) -> str:
+    return "#" if w[0] in "0123456789" else {"\x01": "@", "\x02": "%"}.get(w[0], w)
+
+
+def contaminated(doc: list[str], item: list[str]) -> tuple | None:
+    """(doc_start, n_matched, n_windows, coverage, n_slots, consistency, exact) of the best line or band, by all pairs of windows."""
+    w, best = 8, None
+    good = [a for a in range(len(item) - w + 1) if sum(kind(x) not in "#@%" for x in item[a : a + w]) >= 5]
+    lines = collections.defaultdict(set)
+    for a in good:
+        for place in range(len(doc) - w + 1):
+            if list(map(kind, item[a : a + w])) == list(map(kind, doc[place : place + w])):
+                d = place - a
+                for g in ((0, d), (1, d // 8), (1, d // 8 + 1)):
+                    lines[g].add((a, d))
+    cover = lambda at: len({a + k for a in at for k in range(w)})
+    for (wide, _), hits in lines.items():
+        at, ds = {a for a, _ in hits}, {d for _, d in hits}
+        if wide and len(ds) < 2:
+            continue
+        span = cover(at) - (w - 1)
+        share = max(len(at) / len(good), span / (cover(good) - (w - 1)))
+        if share < 0.5 or max(len(at), span) < min(3, len(good)):
+            continue
+        spots = {(a + k, a + d + k) for a, d in hits for k in range(w)}
+        if wide:
+            spots = {x for x in spots if not any(y[0] == x[0] and y[1] < x[1] for y in spots)}
+            spots = {x for x in spots if not any(y[1] == x[1] and y[0] < x[0] for y in spots)}
+        slots = {(item[i], doc[d]) for i, d in spots if kind(item[i]) in "#@%"}
+        even = (len({x for x, _ in slots}) + len({y for _, y in slots})) / (2 * len(slots)) if slots else 1.0
+        row = (min(a + d for a, d in hits), len(at), len(good), round(share, 9), len(slots), round(even, 9), all(x == y for x, y in slots))
+        rank = (len(at), even, -wide, -min(ds))
+        if even >= 0.8 and (best is None or rank > best[0]):
+            best = (rank, row)
+    return best and best[1]
+
+
+def test_templates_match_brute_force(spark):
+    r = random.Random(23)
+    pool = "has apples and buys rope for old friend many does have after total the market where people sell 3 7 12 km kg Tom Anna Lucy".split()
+    text = lambda n: " ".join(r.choice(pool) + r.choice(["", "", "", ".", ","]) for _ in range(n))
+    items = [(k, text(r.choice([12, 20, 30]))) for k in range(8)] + [(8, None), (None, text(25))]
+    rows = []
+    for k in range(50):
+        words = r.choice(items)[1]
+        words = (words or text(20)).split()
+        for _ in range(r.randint(0, 3)):
+            at, act = r.randrange(len(words)), r.random()
+            if act < 0.3:
+                words.insert(at, r.choice(pool))
+            elif act < 0.5 and len(words) > 9:
+                del words[at]
+            else:
+                words[at] = r.choice(["3", "99", "Anna", "Eva", words[at], words[at]])
+        rows.append((k, " ".join([text(r.randint(0, 12)), *words[r.choice([0, 0, 4]) :], text(r.randint(0, 12))])))
+    rows += [(60, None), (61, ""), (None, items[0][1])]
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            if x and (found := contaminated(template(t), template(x))):
+                want[d, i] = found
+    assert len(want) > 20 and any(not v[6] for v in want.values())
+    dfs = (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, x, "") for i, x in items], BENCH))
+    for limit in (templates.FILTER_HASHES, 0):  # looked up inside arrays, then by a join alone
+        old, templates.FILTER_HASHES = templates.FILTER_HASHES, limit
+        try:
+            got = {(x.doc_id, x.item_id): (x.doc_start, x.n_matched, x.n_windows, round(x.coverage, 9), x.n_slots, round(x.consistency, 9), x.exact) for x in templates.contaminated(*dfs).collect()}
+        finally:
+            templates.FILTER_HASHES = old
+        assert got == want
+
+
 def test_templates_stay_on_the_jvm(spark, docs):
     plan = templates.contaminated(docs, spark.createDataFrame([(1, "a b c d e f g h i", "")], BENCH))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

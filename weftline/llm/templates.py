@@ -26,6 +26,8 @@ PARAMS = {
 #: Windows of the benchmark are broadcast up to this number (some forty bytes each), ids of documents that are read again
 #: up to three times as many, and rows with the words of items up to a tenth; more are joined by a shuffle.
 BROADCAST_ROWS = 300_000
+#: Different hashes of the benchmark's windows up to this number are looked up before windows become rows.
+FILTER_HASHES = 20_000
 NAME, UNIT = "\x01", "\x02"
 #: Letters of scripts that write no spaces between words: each is a word.
 UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}&&[\p{L}]"
@@ -38,8 +40,10 @@ def template_words(text: Column) -> Column:
     """The words of a text, lower-cased, names and units marked by a leading control character."""
     plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{UNIT}]", " ")
     units = F.regexp_replace(plain, r"([0-9]) ?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", f"$1 {UNIT}$2")
-    names = F.regexp_replace(F.when(plain.rlike("[0-9]"), units).otherwise(plain), r"(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{L})|\b(?=(?:" + "|".join(GIVEN_NAMES) + r")\b)", NAME)
-    return F.regexp_extract_all(F.lower(names), F.lit(rf"[\x01\x02]?(?:[0-9]+(?:[.,][0-9]+)*|[{UNSPACED}]\p{{M}}*|[[\p{{L}}\p{{M}}]&&[^{UNSPACED}]]+)"), F.lit(0))
+    # the capital comes first, as it rules out most places at once
+    named = r"(?=\p{Lu})(?:(?<=[\p{L}\p{N},;] )(?=\p{Lu}\p{L})|\b(?=(?:" + "|".join(GIVEN_NAMES) + r")\b))"
+    names = F.regexp_replace(F.when(plain.rlike("[0-9]"), units).otherwise(plain), named, NAME)
+    return F.regexp_extract_all(F.lower(names), F.lit(rf"[\x01\x02]?+(?:(?:[a-z]++|[[\p{{L}}\p{{M}}]&&[^{UNSPACED}]]++)++|[0-9]++(?:[.,][0-9]++)*+|[{UNSPACED}]\p{{M}}*+)"), F.lit(0))
 
 
 def slot_of(word: Column) -> Column:
@@ -51,7 +55,7 @@ def slot_of(word: Column) -> Column:
 def window_hashes(words: Column, window: int) -> Column:
     """A hash for each run of ``window`` template words, in order; null where the text is shorter."""
     hashed = F.transform(words, lambda w: F.xxhash64(slot_of(w)))
-    runs = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda k: F.xxhash64(F.slice(h, k, window)))
+    runs = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda k: F.xxhash64(*[h[k + i] if i else h[k] for i in range(window)]))
     return let(hashed, lambda h: F.when(F.size(h) >= window, runs(h)))
 
 
@@ -72,17 +76,26 @@ def item_windows(words: DataFrame, p: dict) -> DataFrame:
     return rows.select("item_id", "item_key", F.size("_w").alias("n_windows"), F.size(_places(F.col("_w.at"), w)).alias("coverable"), F.explode("_w").alias("_w")).select("item_id", "item_key", "n_windows", "coverable", "_w.at", "_w.hash")
 
 
-def whole_items(texts: DataFrame, words: DataFrame, p: dict, few) -> DataFrame:
+def _slotted(word: Column) -> Column:
+    return slot_of(word).isin("#", "@", "%")
+
+
+def items_alone(words: DataFrame, p: dict) -> DataFrame:
+    """The items (of :func:`item_words`) that have no window with enough literal words."""
+    w = p["window"]
+    literals = lambda x: F.size(F.filter(x, lambda y: ~_slotted(y)))
+    starts = F.when(F.size("item_words") >= w, F.sequence(F.lit(1), F.size("item_words") - w + 1)).otherwise(F.array().cast("array<int>"))
+    return stored(words.where(~F.exists(starts, lambda k: literals(F.slice(F.col("item_words"), k, w)) >= p["literals"])), "alone")
+
+
+def whole_items(texts: DataFrame, alone: DataFrame, p: dict, few) -> DataFrame:
     """A row for each place where a text holds an item that has no usable window, the item being one run of its own length.
 
     Its words must be the same; with enough literal words it may have other values in its slots.
     """
-    w = p["window"]
-    slotted = lambda x: slot_of(x).isin("#", "@", "%")
+    slotted = _slotted
     literals = lambda x: F.size(F.filter(x, lambda y: ~slotted(y)))
     bare = lambda x: F.transform(x, lambda y: F.translate(y, NAME + UNIT, ""))
-    starts = F.when(F.size("item_words") >= w, F.sequence(F.lit(1), F.size("item_words") - w + 1)).otherwise(F.array().cast("array<int>"))
-    alone = words.where(~F.exists(starts, lambda k: literals(F.slice(F.col("item_words"), k, w)) >= p["literals"]))
     template = lambda x: F.transform(x, slot_of)
     own = F.col("item_words")
     keys = F.array(F.xxhash64(F.lit(0), bare(own)), F.when(literals(own) >= p["literals"], F.xxhash64(F.lit(1), template(own))))
@@ -132,9 +145,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
     items = stored(item_words(benchmark), "items")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
     hashes = texts.select("doc_id", template_words(F.col("_text")).alias("_words")).select("doc_id", window_hashes(F.col("_words"), w).alias("_hashes"))
-    # the outer form, as the plain one would have the optimiser test and so compute the array twice
-    windows = hashes.select("doc_id", F.posexplode_outer("_hashes").alias("place", "_hash"))
-    met = windows.join(few(item_windows(items, p)), F.col("_hash") == F.col("hash"))
+    wanted = stored(item_windows(items, p), "windows")
+    known = [r[0] for r in wanted.select("hash").distinct().limit(FILTER_HASHES + 1).collect()]
+    if 0 < len(known) <= FILTER_HASHES:  # few enough to be looked up inside the array: only windows of some item become rows
+        listed = ", ".join(f"{h}L" if h > -(1 << 63) else "bigint(-9223372036854775808)" for h in known)
+        places = F.expr(f"filter(sequence(0, size(_hashes) - 1), k -> _hashes[k] IN ({listed}))")
+        hits = F.when(F.size("_hashes") > 0, F.transform(places, lambda k: F.struct(k.alias("place"), F.get("_hashes", k).alias("_hash"))))
+        windows = hashes.select("doc_id", F.explode_outer(hits).alias("_m")).where("_m IS NOT NULL").select("doc_id", "_m.place", "_m._hash")
+    else:
+        # the outer form, as the plain one would have the optimiser test and so compute the array twice
+        windows = hashes.select("doc_id", F.posexplode_outer("_hashes").alias("place", "_hash"))
+    met = windows.join(few(wanted), F.col("_hash") == F.col("hash"))
     # a match counts for its diagonal and for two overlapping bands, so that neighbours always share one
     diagonal = F.col("place") - F.col("at")
     band = F.floor(diagonal / p["band"]).cast("int")
@@ -168,7 +189,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: dict | None = No
         F.when(F.size("slots") > 0, (once(F.col("slots"), "item") + once(F.col("slots"), "doc")) / (2 * F.size("slots"))).otherwise(F.lit(1.0)).alias("consistency"),
         F.forall("slots", lambda z: z["item"] == z["doc"]).alias("exact"),
     )
-    both = both.drop("_pairs", "slots").unionByName(whole_items(texts, items, p, few))
+    both = both.drop("_pairs", "slots")
+    alone = items_alone(items, p)
+    if not alone.isEmpty():
+        both = both.unionByName(whole_items(texts, alone, p, few))
     best = F.max_by(F.struct("doc_start", "n_matched", "n_windows", "coverage", "n_slots", "consistency", "exact"), F.struct("n_matched", "consistency", -F.col("wide"), -F.col("diagonal"), "item_key")).alias("b")
     return both.where(F.col("consistency") >= p["consistency"]).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
