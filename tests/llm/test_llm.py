@@ -342,26 +342,63 @@ def test_js_distance(spark):
 # --- 4
 
 
-def cut(rows: list[tuple], w: int) -> set:
-    big = 1 << 62
-    seen: dict = {}
-    rows = [((d if d is not None else big), (t or "").encode().split()) for d, t in rows]
-    for d, ws in rows:
+def cut(rows: list[tuple], w: int) -> collections.Counter:
+    big = 1 << 63
+    rows = [((d if d is not None else big), t, (t or "").encode().split()) for d, t in rows]
+    seen = collections.defaultdict(set)
+    for d, t, ws in rows:
         for i in range(len(ws) - w + 1):
-            k = tuple(ws[i : i + w])
-            seen[k] = min(seen.get(k, (d, i)), (d, i))
-    out = set()
-    for d, ws in rows:
-        gone = {i + k for i in range(len(ws) - w + 1) if seen[tuple(ws[i : i + w])] < (d, i) for k in range(w)}
-        out.add((None if d == big else d, len(ws), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(ws) if i not in gone)).hexdigest()))
+            seen[tuple(ws[i : i + w])].add((d, t, i))
+    out = collections.Counter()
+    for d, t, ws in rows:
+        gone = set()
+        for i in range(len(ws) - w + 1):
+            held = seen[tuple(ws[i : i + w])]
+            if min(held, key=lambda x: x[0])[0] < d or any(x == d and y == t and j < i for x, y, j in held):
+                gone |= set(range(i, i + w))
+        out[None if d == big else d, len(ws), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(ws) if i not in gone)).hexdigest()] += 1
     return out
 
 
+def test_substrings_keep_the_largest_id_apart_from_none(spark):
+    top = (1 << 63) - 1
+    text = " ".join(map(str, range(30)))
+    rows = spark.createDataFrame([(top, f"{text} x"), (None, "y"), (3, text), (None, f"z {text}")], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substrings.dedup_substrings(rows).collect())
+    assert got == sorted([(str(top), 31, 30), ("None", 1, 0), ("3", 30, 0), ("None", 31, 30)])
+
+
+def test_the_filter_of_ids_loses_none(spark):
+    ids = spark.range(-500, 30_000, 7).select(F.col("id").alias("doc_id"))
+    for most in (1 << 13, 1 << 28):
+        flags, bits = substrings.id_filter(ids.repartition(5), most)
+        assert len(flags) * 8 == bits <= most
+        every = np.arange(-500, 30_000)
+        held = substrings._may_hold(np.frombuffer(flags.tobytes(), np.uint8), bits, every)
+        assert held[(every + 500) % 7 == 0].all() and (most < 1 << 20 or held.mean() < 0.2)
+
+
 @pytest.mark.parametrize("window", [20, 5])
 def test_substrings_match_brute_force(docs, window):
     got = substrings.dedup_substrings(docs, window).collect()
     assert len(got) == docs.count()
-    assert {tuple(r) for r in got} == cut([(d.doc_id, d.text) for d in docs.collect()], window)
+    assert collections.Counter(map(tuple, got)) == cut([(d.doc_id, d.text) for d in docs.collect()], window)
+
+
+def test_texts_that_share_an_id_are_cut_apart(spark):
+    r = random.Random(31)
+    line = [str(k) for k in range(40)]
+    rows = []
+    for k in range(60):
+        words = [r.choice("abcdefgh") for _ in range(r.randint(0, 30))]
+        at = r.randint(0, len(words))
+        for _ in range(r.choice([0, 1, 1, 2])):
+            words[at:at] = line[r.randint(0, 15) : r.randint(20, 40)]
+        rows.append((r.choice([None, 1, 2, 3, k]), " ".join(words)))
+    rows += [(None, None), rows[5], rows[6], (3, rows[7][1])]
+    for window in (20, 5):
+        got = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), window).collect()
+        assert collections.Counter(map(tuple, got)) == cut(rows, window)
 
 
 def test_substring_parts_on_random_words():
@@ -381,11 +418,12 @@ def test_substring_parts_on_random_words():
 # --- 5
 
 
-def test_urls_as_of(spark):
+def test_urls_as_of(spark, monkeypatch):
     entries = [("spam", "domain", "bad.com", "add", 100), ("spam", "domain", "bad.com", "remove", 200), ("spam", "domain", "BAD.com", "add", 300), ("spam", "domain", "bad.com", "add", 350), ("spam", "domain", "tie.com", "add", 5), ("spam", "domain", "tie.com", "remove", 5), ("x", "prefix", "ok.com/a/b", "add", 0), ("y", "domain", "com", "add", 1000), (None, "domain", None, "add", 1), ("z", "other", "ok.com", "add", 1)]
     captures = [("http://www.Bad.com/x", 99), ("http://www.Bad.com/x", 100), ("http://bad.com:80/x", 199), ("https://u@bad.com", 200), ("http://bad.com.", 300), ("http://bad.com/", 400), ("http://notbad.com/", 150), ("http://tie.com", 9), ("http://ok.com/a/b/c?x", 1), ("http://ok.com/a/bc", 1), ("http://ok.com/a/b", 2000), (None, 150), ("bad.com", 150), ("http://bad.com/", None), ("http://bad.com/", 400)]
     df = spark.createDataFrame([(k, u, t, "clash", True) for k, (u, t) in enumerate(captures)], "page_id long, url string, fetched_at long, host string, blocked boolean")
-    for limit in (1000, 0):
+    for limit, frequent in ((1000, 10_000), (3, 4), (0, 4), (0, 10_000)):  # broadcast, or by key; frequent keys broadcast, or salted
+        monkeypatch.setattr(temporal_urls, "FREQUENT", frequent)
         got = {r.page_id: r for r in temporal_urls.filter_urls(df, spark.createDataFrame(entries, temporal_urls.LIST_COLUMNS), broadcast_rows=limit).collect()}
         assert [k for k in sorted(got) if got[k].blocked] == [1, 2, 4, 5, 8, 10, 14] and len(got) == len(captures)
         assert got[10].n_lists == 2 and got[10].value == "ok.com/a/b" and got[1].valid_from == 100 and got[5].valid_from == 350

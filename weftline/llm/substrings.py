@@ -8,10 +8,12 @@ merges overlapping repeats into maximal intervals. Three rounds keep what is shu
    windows have equal anchors, and a document has about one anchor for each seven words. Anchors are counted in Spark; a
    window whose anchor occurs once in the corpus occurs once itself.
 2. Windows. All other windows are counted under 96 bits of two rolling hashes, and the earliest start of each is found.
+   Windows count as equal when these are; both rest on one mixed 64-bit hash of each word, so two different words in one
+   place collide with a chance of some V * V / 2^65 for V different words (3e-8 for a billion).
 3. Each document with repeats is cut.
 
-Anchors and windows travel packed by hash range, many to a row, and a task sends a hash once however often it met it: a
-passage that a third of all documents share is as small as any other when it gets to the task that counts it.
+Anchors and windows travel packed by hash range, many to a row, and a task sends a hash once for each few MB of text
+however often it met it there, so a passage that a third of all documents share is a small part of what is counted.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import partitions, read_table, stored
+from weftline.llm.common import arrow_map, partitions, read_table, stored
 
 WINDOW = 20
 #: Bytes of text that are hashed at a time, and words whose windows are.
 _SEGMENT = 1 << 20
 _RUN = 1 << 19
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: Bits of the filter of document ids: eight MB at most, whatever the input; beyond, more rows pass it in vain.
-_FILTER_BITS = 1 << 26
+#: Bits of the filter of document ids: 32 MB at most, whatever the input; beyond, more rows pass it in vain.
+_FILTER_BITS = 1 << 28
+#: Stands for a null id where ids are compared; ``missing`` tells such rows from one that has this very id.
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -141,7 +144,7 @@ class Windows:
 
 #: What a payload holds, column after column: single anchors, anchors met twice, settled anchors, window starts, settled starts.
 _PACKED = "bucket int, payload binary"
-_KINDS = {0: ("<u8", "<i8"), 1: ("<u8",), 2: ("<i8", "<u8"), 3: ("<u8", "<u4", "<i8", "<i4"), 4: ("<i8", "<i4")}
+_KINDS = {0: ("<u8", "<i8"), 1: ("<u8",), 2: ("<i8", "<u8"), 3: ("<u8", "<u4", "<i8", "<i8", "<i4"), 4: ("<i8", "<i8", "<i4")}
 
 
 def _deal(kind: int, key: np.ndarray, columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -229,9 +232,9 @@ def repeated_anchors(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         h, doc = h[order], doc[order]
         _, size = _groups(h)
         again = np.repeat(size > 1, size) | np.isin(h, twice)
-        yield from _return(2, np.concatenate([doc[again], settled]), np.concatenate([h[again], values]), buckets)
+        yield from _return(2, [np.concatenate([doc[again], settled]), np.concatenate([h[again], values])], buckets)
 
-    return _per_document(_split(docs.mapInArrow(send, _PACKED), buckets).mapInArrow(count, _PACKED), 2, buckets)
+    return _per_document(_split(docs.select("doc_id", "text").mapInArrow(send, _PACKED), buckets).mapInArrow(count, _PACKED), buckets)
 
 
 def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,40 +243,45 @@ def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(x)))
 
 
-def _return(kind: int, doc: np.ndarray, value: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+def _return(kind: int, columns: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
     """What was found, packed by range of the documents' hashes."""
-    rows = list(_deal(kind, _mix(doc.view(np.uint64)), [doc, value], buckets))
+    rows = list(_deal(kind, _mix(columns[0].view(np.uint64)), columns, buckets))
     if rows:
         yield _packed_rows(rows)
 
 
-def _per_document(found: DataFrame, kind: int, buckets: int) -> DataFrame:
-    """(doc_id, values): one row for each document, with its values packed one after another."""
+def _per_document(found: DataFrame, buckets: int, tagged: bool = False) -> DataFrame:
+    """(doc_id, values), or (doc_id, tag, values): one row for each document, with its values packed one after another."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, value = _open([p.as_py() for b in batches for p in b.column(1)], kind)
+        doc, *tag, value = _open([p.as_py() for b in batches for p in b.column(1)], 4 if tagged else 2)
         if not len(doc):
             return
-        order = np.argsort(doc, kind="stable")
-        doc, value = doc[order], value[order]
-        begins, sizes = _groups(doc)
+        order = np.lexsort((*tag, doc))
+        doc, value, tag = doc[order], value[order], [t[order] for t in tag]
+        new = np.concatenate([[True], doc[1:] != doc[:-1]])
+        for t in tag:
+            new[1:] |= t[1:] != t[:-1]
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, len(doc)))
         for k in range(0, len(begins), 20_000):
             part = slice(k, k + 20_000)
             values = [value[a : a + n].tobytes() for a, n in zip(begins[part].tolist(), sizes[part].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[begins[part]]), pa.array(values, pa.binary())], ["doc_id", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[begins[part]]), *(pa.array(t[begins[part]]) for t in tag), pa.array(values, pa.binary())], ["doc_id", *["tag" for _ in tag], "values"])
 
-    return _split(found, buckets).mapInArrow(gather, "doc_id long, values binary")
+    return _split(found, buckets).mapInArrow(gather, "doc_id long, tag long, values binary" if tagged else "doc_id long, values binary")
 
 
 def repeated_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(doc_id, values): per document the starts of windows that start earlier elsewhere.
+    """(doc_id, tag, values): per document the starts of windows that start earlier elsewhere.
 
-    ``docs`` has (doc_id, text, anchors): the packed anchors of the document that occur twice or more.
+    ``docs`` has (doc_id, text, anchors, tag): the packed anchors that occur twice or more, and a hash of the text, which
+    tells texts under one id apart.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts, anchors in _with_values(batch):
+            for ids, texts, anchors, tags in _with_values(batch):
                 w = Windows(texts, window)
                 least, _, _ = w.anchors()
                 # an anchor counts only for its own document: the row is mixed into what is looked up
@@ -284,40 +292,46 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 spots = spots[np.isin(least[spots] ^ rows[w.row[spots]], wanted)]
                 h = rolling(w.words, window, _MULTIPLIERS[2])[spots]
                 x = (rolling(w.words, window, _MULTIPLIERS[3])[spots] >> np.uint64(32)).astype("<u4")
-                doc, at = ids[w.row[spots]], w.place[spots].astype("<i4")
-                first, later = _earliest(h, x, doc, at)
+                doc, tag, at = ids[w.row[spots]], tags[w.row[spots]], w.place[spots].astype("<i4")
+                first, later = _earliest(h, x, doc, tag, at)
                 first = first[np.argsort(doc[first], kind="stable")]
-                out = [*_deal(3, h[first], [h[first], x[first], doc[first], at[first]], buckets), *_deal(4, _mix(doc[later].view(np.uint64)), [doc[later], at[later]], buckets)]
+                out = [*_deal(3, h[first], [h[first], x[first], doc[first], tag[first], at[first]], buckets), *_deal(4, _mix(doc[later].view(np.uint64)), [doc[later], tag[later], at[later]], buckets)]
                 if out:
                     yield _packed_rows(out)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         payloads = [p.as_py() for b in batches for p in b.column(1)]
-        h, x, doc, at = _open(payloads, 3)
-        settled, starts = _open(payloads, 4)
-        _, later = _earliest(h, x, doc, at)
-        yield from _return(4, np.concatenate([doc[later], settled]), np.concatenate([at[later], starts]), buckets)
+        h, x, doc, tag, at = _open(payloads, 3)
+        settled = _open(payloads, 4)
+        _, later = _earliest(h, x, doc, tag, at)
+        yield from _return(4, [np.concatenate([c[later], s]) for c, s in zip((doc, tag, at), settled, strict=True)], buckets)
 
-    return _per_document(_split(docs.mapInArrow(send, _PACKED), buckets).mapInArrow(count, _PACKED), 4, buckets)
+    return _per_document(_split(docs.mapInArrow(send, _PACKED), buckets).mapInArrow(count, _PACKED), buckets, True)
 
 
-def _earliest(h: np.ndarray, x: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the earliest start of each window, places of starts that are later than their window's earliest)."""
+def _earliest(h: np.ndarray, x: np.ndarray, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts before which a window does not start, all other starts) of each window.
+
+    The first are those of the smallest document; where several texts share its id, the earliest start in each of them.
+    """
     if not len(h):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    order = np.lexsort((at, doc, x, h))
-    h, x, doc, at = h[order], x[order], doc[order], at[order]
+    order = np.lexsort((at, tag, doc, x, h))
+    h, x, doc, tag, at = h[order], x[order], doc[order], tag[order], at[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])])
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order[new], order[(doc != doc[first]) | (at != at[first])]
+    text = new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    begin = np.flatnonzero(text)[np.cumsum(text) - 1]
+    least = doc == doc[first]
+    return order[least & text], order[~least | (at != at[begin])]
 
 
-def _with_values(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[np.ndarray, pa.Array, list[bytes]]]:
+def _with_values(batch: pa.RecordBatch, most: int = 6_000_000) -> Iterator[tuple[np.ndarray, pa.Array, list[bytes], np.ndarray]]:
     from weftline.llm.tokens import slices
 
     for begin, end in slices(batch.column(1), most):
         part = batch.slice(begin, end - begin)
-        yield np.array(pc.fill_null(part.column(0), _NULL_ID), np.int64), part.column(1), [x or b"" for x in part.column(2).to_pylist()]
+        yield np.array(pc.fill_null(part.column(0), _NULL_ID), np.int64), part.column(1), [x or b"" for x in part.column(2).to_pylist()], np.array(pc.fill_null(part.column(3), 0), np.int64)
 
 
 def _spots(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -329,29 +343,19 @@ def id_filter(found: DataFrame, most_bits: int = _FILTER_BITS) -> tuple[np.ndarr
     """A Bloom filter of the doc_id column, built in parts: (bytes, bits), of ``most_bits`` bits at most."""
     n = found.count()
     bits = min(most_bits, 1 << max(13, (16 * n).bit_length()))
-    piece = min(bits // 8, 1 << 16)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.zeros(bits, bool)
-        for b in batches:
-            flags[_spots(np.array(b.column(0), np.int64), bits)] = True
-        packed = np.packbits(flags, bitorder="little").reshape(-1, piece)
-        there = np.flatnonzero(packed.any(1))
-        if len(there):
-            yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([packed[k].tobytes() for k in there.tolist()], pa.binary())], ["k", "part"])
-
-    def merge(t: pa.Table) -> pa.Table:
-        out = np.zeros(piece, np.uint8)
-        for p in t.column("part"):
-            out |= np.frombuffer(p.as_buffer(), np.uint8)
-        return pa.table({"k": pa.array([t.column("k")[0].as_py()], pa.int64()), "part": pa.array([out.tobytes()], pa.binary())})
-
-    # at most ``most_bits`` bits reach the driver
-    parts = found.select("doc_id").mapInArrow(fill, "k long, part binary").groupBy("k").applyInArrow(merge, "k long, part binary").toArrow()
-    out = np.zeros((bits // 8 // piece, piece), np.uint8)
-    for k, p in zip(parts.column("k").to_pylist(), parts.column("part"), strict=True):
-        out[k] = np.frombuffer(p.as_buffer(), np.uint8)
-    return out.ravel(), bits
+
+    def fill(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spots = np.unique(_spots(np.array(batch.column(0), np.int64), bits))
+        word, at = spots >> np.uint64(6), spots & np.uint64(63)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        masks = np.bitwise_or.reduceat(np.uint64(1) << at, first) if len(spots) else np.empty(0, np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(word[first].astype(np.int64)), pa.array(masks.view(np.int64))], ["word", "mask"])
+
+    # tasks send the words that they set, which are joined before and after the shuffle; ``most_bits`` reach the driver
+    words = arrow_map(found.select("doc_id"), fill, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    return out.view(np.uint8), bits
 
 
 def _may_hold(flags: np.ndarray, bits: int, ids: np.ndarray) -> np.ndarray:
@@ -384,26 +388,27 @@ def _cut(texts: pa.Array, starts: list[bytes], window: int) -> tuple[list[int],
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) for each row of ``docs``.
 
-    A null text has no words. A null doc_id counts as larger than all others. Rows that share a doc_id are each judged as
-    that document: of windows equal in (doc_id, start) none is earlier. Texts shorter than a window lose nothing.
+    A null text has no words. A null doc_id counts as larger than all others. Of different texts that share a doc_id, or
+    have none, none is earlier than the other; rows repeated as a whole are one document. Texts shorter than a window lose
+    nothing.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("tag"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(1 << 20, max(partitions(spark), size >> 24))
     anchors = stored(repeated_anchors(docs, window, buckets), "anchors")
-    windows = stored(repeated_windows(_pass(docs, anchors, True).join(anchors, "doc_id").select("doc_id", "text", "values"), window, buckets), "windows")
-    rows = _pass(docs, windows, False, window).join(windows, "doc_id", "left").select("doc_id", "text", "values", "n_words", "kept_sha256")
+    windows = stored(repeated_windows(_pass(docs, anchors, True).join(anchors, "doc_id").select("doc_id", "text", "values", "tag"), window, buckets), "windows")
+    rows = _pass(docs, windows, False, window).join(windows, ["doc_id", "tag"], "left").select("doc_id", "text", "values", "tag", "n_words", "kept_sha256", "missing")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [None if i == _NULL_ID else i for i in batch.column(0).to_pylist()]
-            done = batch.column(4).is_valid().to_numpy(zero_copy_only=False)
-            n, gone, digest = batch.column(3).to_pylist(), [0] * batch.num_rows, batch.column(4).to_pylist()
+            ids = [None if gone else i for i, gone in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            done = batch.column(5).is_valid().to_numpy(zero_copy_only=False)
+            n, gone, digest = batch.column(4).to_pylist(), [0] * batch.num_rows, batch.column(5).to_pylist()
             at = 0
             todo = np.flatnonzero(~done)
             part = batch.filter(pa.array(~done))
-            for _, texts, starts in _with_values(part.select([0, 1, 2])):
+            for _, texts, starts, _ in _with_values(part.select([0, 1, 2, 3])):
                 for i, *x in zip(todo[at : at + len(texts)].tolist(), *_cut(texts, starts, window), strict=True):
                     n[i], gone[i], digest[i] = x
                 at += len(texts)
@@ -421,23 +426,23 @@ def _pass(docs: DataFrame, found: DataFrame, drop: bool, window: int = WINDOW) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            ids = np.array(pc.fill_null(batch.column(0), _NULL_ID), np.int64)
+            ids, missing = np.array(pc.fill_null(batch.column(0), _NULL_ID), np.int64), pc.is_null(batch.column(0))
             there = _may_hold(known, bits, ids)
-            kept = batch.column(1).filter(pa.array(there))
+            kept, tags = batch.column(1).filter(pa.array(there)), batch.column(2).filter(pa.array(there))
             if drop:
                 if len(kept):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[there]), kept], ["doc_id", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[there]), kept, tags], ["doc_id", "text", "tag"])
                 continue
             if len(kept):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[there]), kept, pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.string())], ["doc_id", "text", "n_words", "kept_sha256"])
-            rest, other = batch.filter(pa.array(~there)), ids[~there]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[there]), kept, tags, pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.string()), missing.filter(pa.array(there))], ["doc_id", "text", "tag", "n_words", "kept_sha256", "missing"])
+            rest, other, missing = batch.filter(pa.array(~there)), ids[~there], missing.filter(pa.array(~there))
             at = 0
-            for _, texts, starts in _with_values(pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(len(rest), pa.binary())], ["a", "b", "c"])):
+            for _, texts, starts, _ in _with_values(pa.RecordBatch.from_arrays([rest.column(0), rest.column(1), pa.nulls(len(rest), pa.binary()), rest.column(2)], ["a", "b", "c", "d"])):
                 n, _, digest = _cut(texts, starts, window)
-                yield pa.RecordBatch.from_arrays([pa.array(other[at : at + len(n)]), pa.nulls(len(n), pa.string()), pa.array(n, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "text", "n_words", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([pa.array(other[at : at + len(n)]), pa.nulls(len(n), pa.string()), pa.nulls(len(n), pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), missing.slice(at, len(n))], ["doc_id", "text", "tag", "n_words", "kept_sha256", "missing"])
                 at += len(n)
 
-    return docs.mapInArrow(run, "doc_id long, text string" + ("" if drop else ", n_words long, kept_sha256 string"))
+    return docs.mapInArrow(run, "doc_id long, text string, tag long" + ("" if drop else ", n_words long, kept_sha256 string, missing boolean"))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import read_table
+from weftline.llm.common import read_table, stored
 
-#: Entries up to this many rows are broadcast (about 100 MB); longer lists are joined by a salted shuffle.
+#: Entries up to this many rows are broadcast (about 100 MB); longer lists are joined by a shuffle, but for frequent keys.
 BROADCAST_ROWS = 500_000
-SALTS = 16
+#: A key that more than one in FREQUENT of all keys of captures equals is frequent; so there are FREQUENT of them at most.
+FREQUENT = 10_000
 LIST_COLUMNS = "list_name string, scope string, value string, action string, at long"
 #: The dated lists that the query applies (seconds since 1970).
 LISTS = [
@@ -83,9 +84,8 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     same = (F.col("_scope") == F.col("scope")) & (F.lower("_value") == F.col("value"))
     if small:
         hits = exploded.join(F.broadcast(active), same & during)
-    else:  # one host may hold a third of the captures: its rows go to SALTS tasks, entries to each of them
-        salted = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = exploded.withColumn("_s", F.pmod(F.xxhash64("_url", "_at"), F.lit(SALTS)).cast("int")).join(salted, same & during & (F.col("_s") == F.col("_salt")))
+    else:
+        hits = _long_list(exploded.withColumn("_value", F.lower("_value")), active, during, broadcast_rows)
     rank = F.struct(F.length("value").alias("n"), F.col("scope"), F.col("list_name"), F.col("value"), F.col("valid_from"))
     best = hits.groupBy("_url", "_at").agg(F.max(rank).alias("_best"), F.count_distinct("list_name").alias("_lists"))
     joined = captures.join(best, (F.col(url) == F.col("_url")) & (F.col(fetched_at).cast("long") == F.col("_at")), "left")
@@ -98,10 +98,38 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     )
 
 
+def _long_list(asked: DataFrame, active: DataFrame, during: Column, broadcast_rows: int) -> DataFrame:
+    """The keys of captures with the entries active ``during`` their fetch, for lists too long to be broadcast.
+
+    Keys are counted first, combined before they are shuffled. Frequent keys that no list names (``com``) are dropped
+    where they are; entries of frequent ones that are listed are broadcast as well, or, if they too are many, dealt
+    out with as many salts as the key's count asks for. All others are joined by key, and none of those is hot.
+    """
+    active = stored(active, "active")
+    asked = asked.where("_value IS NOT NULL")
+    counts = stored(asked.groupBy("_scope", "_value").agg(F.count("*").alias("_n")), "keys")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    listed = active.select(F.col("scope").alias("_scope"), F.col("value").alias("_value"), F.lit(True).alias("_listed")).distinct()
+    often = stored(counts.where(F.col("_n") * FREQUENT > total).join(listed, ["_scope", "_value"], "left"), "frequent")  # FREQUENT rows at most
+    tagged = asked.join(F.broadcast(often), ["_scope", "_value"], "left")
+    by_key = (F.col("_scope") == F.col("scope")) & (F.col("_value") == F.col("value"))
+    rare = tagged.where("_n IS NULL").drop("_n", "_listed").join(active, by_key & during)
+    hot = active.join(F.broadcast(often.select(F.col("_scope").alias("_s"), F.col("_value").alias("_v"), "_n")), (F.col("scope") == F.col("_s")) & (F.col("value") == F.col("_v")))
+    hot = stored(hot.drop("_s", "_v"), "hot-entries")
+    here = tagged.where("_listed")
+    if hot.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rare.unionByName(here.drop("_n", "_listed").join(F.broadcast(hot.drop("_n")), by_key & during))
+    salts = F.ceil(F.col("_n") * FREQUENT / F.lit(max(total, 1))).cast("int")
+    salted = hot.withColumn("_salt", F.explode(F.sequence(F.lit(1), salts))).drop("_n")
+    spread = here.withColumn("_own", (F.pmod(F.xxhash64("_url", "_at"), salts) + 1).cast("int")).drop("_n", "_listed")
+    return rare.unionByName(spread.join(salted, by_key & during & (F.col("_own") == F.col("_salt"))).drop("_own", "_salt"))
+
+
 def op5_temporal_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = F.lit(FIRST_FETCH).cast("long") + F.pmod(F.col("page_id") * F.lit(FETCH_STEP), F.lit(FETCH_SPAN))
     captures = read_table(spark, sf_dir, "pages").select("page_id", "url", fetched.alias("fetched_at"))
-    return filter_urls(captures, spark.createDataFrame(LISTS, LIST_COLUMNS))
+    rows = [F.struct(*[F.lit(v).alias(c) for c, v in zip(("list_name", "scope", "value", "action", "at"), x, strict=True)]) for x in LISTS]
+    return filter_urls(captures, spark.range(1).select(F.inline(F.array(*rows))))
 
 
 _VALUES = ", ".join(f"('{a}', '{b}', '{c}', '{d}', {e})" for a, b, c, d, e in LISTS)
