@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import sqrt
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.geo import KM_PER_DEGREE, cell_key, metres, segment_distance
+from weftline.operators.loops import keyed_scan
 from weftline.operators.nodes import in_box, running
 
 #: Bounding boxes (south, north, west, east), a road's width, how far off it a position may be, the window.
@@ -129,19 +128,14 @@ def speeds(tuples: DataFrame, key: str = "road_id", order: str = "event_id", spe
     Whether a speed counts depends on all before it, so a road's tuples go through one state, one after another. They are
     sorted on the JVM, which may spill, and streamed through: memory holds one window, however many tuples a road has.
     """
-    rows = tuples.select(F.col(key).cast("long").alias("key"), F.col(order).cast("long").alias("ord"), F.col(speed).cast("double").alias("speed"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        road, state = None, RoadSpeed(window, corrected)
-        for b in batches:
-            out = []
-            for k, s in zip(b["key"].tolist(), b["speed"].tolist(), strict=True):
-                if k != road:
-                    road, state = k, RoadSpeed(window, corrected)
-                out.append(state.add(s))
-            yield pd.DataFrame({"key": b["key"], "ord": b["ord"], "average": out})
-
-    return rows.repartition("key").sortWithinPartitions("key", "ord").mapInPandas(run, "key long, ord long, average double")
+    rows = tuples.select(F.col(key).cast("long").alias("road"), F.col(order).cast("long").alias("at"), F.col(speed).cast("double").alias("speed"))
+    return keyed_scan(rows, "road", "at", ["speed"], lambda: RoadSpeed(window, corrected), lambda state, row: state.add(row[0]), "average double")
+
+
+def tuples(records: DataFrame, key: str, order: str, x: str, y: str, speed: str | None) -> DataFrame:
+    """Records of any form as (key, order, latitude, longitude, speed); forms without a speed, as buses send, have 0.0."""
+    value = F.col(speed).cast("double") if speed else F.lit(0.0)
+    return records.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(y).cast("double").alias("latitude"), F.col(x).cast("double").alias("longitude"), value.alias("speed"))
 
 
 def monitor(points: DataFrame, segments: DataFrame, box: tuple[float, float, float, float] = BEIJING, corrected: bool = False, order: str = "event_id") -> DataFrame:

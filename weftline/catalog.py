@@ -15,7 +15,7 @@ from weftline.operators.tasks import TaskGraph, run_tasks
 from weftline.plans.graph import AllToAll, Farm, Pipeline, Stage
 from weftline.plans.lower import run
 from weftline.plans.rewrite import optimise
-from weftline.sources.readers import count_sink, generate, records, replay, table
+from weftline.sources.readers import count_sink, generate, invoke, records, replay, replay_for, table
 from weftline.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,9 +106,40 @@ def q53(spark: SparkSession, d: str) -> DataFrame:
     return count_sink(replay(table(spark, d, "nation"), 3).groupBy("generation"))
 
 
+@query("q58_replay_for", "SELECT CAST(1 AS INT) AS passes, CAST(count(*) AS BIGINT) AS items FROM nation")
+def q58(spark: SparkSession, d: str) -> DataFrame:
+    """A time limit that is over at once: one whole pass."""
+    passes, items = replay_for(table(spark, d, "nation"), lambda df, k: df.write.format("noop").mode("overwrite").save(), 0.0)
+    return spark.range(1).select(F.lit(passes).cast("int").alias("passes"), F.lit(items).cast("long").alias("items"))
+
+
+@query("q59_no_input", "SELECT CAST(s AS BIGINT) AS source, CAST(count(*) AS BIGINT) AS items, CAST(sum(k * k) AS BIGINT) AS total FROM range(4) AS a(s), range(100) AS b(k) WHERE k < 10 * (s + 1) GROUP BY s")
+def q59(spark: SparkSession, d: str) -> DataFrame:
+    made = invoke(spark, lambda source, k: (source, k * k) if k < 10 * (source + 1) else None, "source long, item long", sources=4)
+    return made.groupBy("source").agg(F.count("*").alias("items"), F.sum("item").alias("total"))
+
+
+@query("q60_bus_tuples", "SELECT CAST(user_id AS BIGINT) AS key, event_id AS \"order\", CAST(event_id % 90 AS DOUBLE) AS latitude, CAST(event_id % 180 AS DOUBLE) AS longitude, CASE WHEN event_type = 'view' THEN 0.0 ELSE value END AS speed FROM events")
+def q60(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").cast("long").alias("user_id"), "event_id", "event_type", "value", (F.col("event_id") % 180).alias("x"), (F.col("event_id") % 90).alias("y"))
+    bus = traffic.tuples(e.where("event_type = 'view'"), "user_id", "event_id", "x", "y", None)
+    return bus.unionByName(traffic.tuples(e.where("event_type <> 'view'"), "user_id", "event_id", "x", "y", "value"))
+
+
+@query("q61_kernel_measures", "SELECT CASE WHEN event_type IN ('purchase', 'error') THEN event_type ELSE 'none' END AS command, CAST(count(*) AS BIGINT) AS items FROM events GROUP BY 1")
+def q61(spark: SparkSession, d: str) -> DataFrame:
+    return nodes.kernel_measures(table(spark, d, "events"), "event_type", {"purchase": F.lit(1), "error": F.lit(2), "none": F.lit(0)}, "none")
+
+
 # --- routing and gathering
 
 
+@query("q62_manager", "SELECT event_id, CAST(control AS BIGINT) AS control FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'error' THEN user_id END IGNORE NULLS) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS control FROM events) WHERE event_type <> 'error'")
+def q62(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("user_id").cast("long").alias("user_id"))
+    return routing.managed(e.where("event_type <> 'error'").select("event_id"), e.where("event_type = 'error'"), "event_id", "user_id")
+
+
 @query("q11_route_rr", "SELECT CAST(event_id % 7 AS INT) AS worker, CAST(count(*) AS BIGINT) AS items, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
 def q11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(routing.round_robin("event_id", 7).alias("worker")).agg(F.count("*").alias("items"), F.sum("event_id").alias("total"))
@@ -233,6 +264,24 @@ def q30(spark: SparkSession, d: str) -> DataFrame:
     return out.select("c_custkey", "n_name", (F.round(F.col("c_acctbal") * 100).cast("bigint") * (F.col("n_regionkey") + 1)).alias("scaled"))
 
 
+@query("q63_thid", "SELECT CAST(count(*) AS BIGINT) AS items, CAST(sum(user_id) AS BIGINT) AS total FROM events")
+def q63(spark: SparkSession, d: str) -> DataFrame:
+    each = loops.with_thread(table(spark, d, "events").select("user_id")).groupBy("_thid").agg(F.count("*").alias("items"), F.sum("user_id").alias("total"))
+    return each.agg(F.sum("items").alias("items"), F.sum("total").alias("total"))
+
+
+@query("q64_udaf", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum((user_id * user_id) % 101) AS BIGINT) AS total, CAST(max(event_id) AS BIGINT) AS top FROM events WHERE user_id % 2 = 1")
+def q64(spark: SparkSession, d: str) -> DataFrame:
+    """A body over batches of items, its identity, and what joins partial results."""
+
+    def body(state: tuple, b) -> tuple:
+        odd = b[b["user_id"] % 2 == 1]
+        return state[0] + len(odd), state[1] + int(((odd["user_id"] ** 2) % 101).sum()), max([state[2], *odd["event_id"].tolist()])
+
+    final = lambda a, b: (a[0] + b[0], a[1] + b[1], max(a[2], b[2]))
+    return loops.fold_with(table(spark, d, "events").select("event_id", "user_id"), body, (0, 0, -1), final, "n long, total long, top long")
+
+
 # --- task graphs
 
 
@@ -459,6 +508,14 @@ def q48(spark: SparkSession, d: str) -> DataFrame:
     return iterate.evolve_pool(pool, {"avg": 1 << 40, "iter": 0}, select, lambda p, env: p.select(step.alias("x")), keep, stop)[0]
 
 
+@query("q65_reduce_input", "SELECT CAST(45 + 10 * 2 AS BIGINT) AS reduced, CAST(45 + 10 * 3 + 1000 AS BIGINT) AS total")
+def q65(spark: SparkSession, d: str) -> DataFrame:
+    """Three sweeps that reduce what they read, between a hook before the first and one after the last."""
+    line = iterate.fixed_grid(spark, 1, 10, "j").repartition(1)
+    out, reduced, _ = stencil.loop(line, (stencil.at(0, 0) + 1).cast("int"), [(0, 0)], reduce=F.sum("v"), most=3, reduce_input=True, start=lambda g: g, end=lambda g: g.withColumn("v", F.col("v") + 100))
+    return out.agg(F.lit(reduced).cast("bigint").alias("reduced"), F.sum("v").cast("bigint").alias("total"))
+
+
 # --- traffic
 
 
@@ -552,3 +609,48 @@ def s02(spark: SparkSession, d: str) -> DataFrame:
 def s03(spark: SparkSession, d: str) -> DataFrame:
     out = streams.windowed(streams.table_stream(spark, d, "events"), "ts", "400 days", "1 hour", None, ["event_type"], n=F.count("*"))
     return streams.drain(out, "complete", "windows").select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
+
+
+@query("s04_stream_sliding", "SELECT CAST(epoch(time_bucket(INTERVAL '30 minutes', ts)) - 1800 * k AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS n FROM events, range(2) AS t(k) GROUP BY 1")
+def s04(spark: SparkSession, d: str) -> DataFrame:
+    out = streams.windowed(streams.table_stream(spark, d, "events"), "ts", "1 day", "1 hour", "30 minutes", [], n=F.count("*"))
+    return streams.drain(out, "complete", "sliding").select(F.unix_timestamp("window_start").alias("window_start"), "n")
+
+
+@query("s05_stream_sessions", "WITH e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS t FROM events), m AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) < 43200000000 THEN 0 ELSE 1 END AS opens FROM e), s AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT CAST(user_id AS BIGINT) AS user_id, CAST(min(t) // 1000000 AS BIGINT) AS session_start, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k")
+def s05(spark: SparkSession, d: str) -> DataFrame:
+    out = streams.sessions(streams.table_stream(spark, d, "events"), "ts", "1 day", "12 hours", ["user_id"], n=F.count("*"))
+    return streams.drain(out, "complete", "sessions").select(F.col("user_id").cast("long").alias("user_id"), F.unix_timestamp("session_start").alias("session_start"), "n")
+
+
+@query("s06_stream_loop", "WITH RECURSIVE w(n_nationkey, left_) AS (SELECT n_nationkey, CAST(n_nationkey % 6 AS INT) FROM nation UNION ALL SELECT n_nationkey, left_ - 1 FROM w WHERE left_ > 0) SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(left_ AS INT) AS left_ FROM w WHERE left_ = 0")
+def s06(spark: SparkSession, d: str) -> DataFrame:
+    """A counter that goes round until it is zero, within each batch of a stream."""
+    step = Stage(lambda x: x.withColumn("left_", F.greatest(F.col("left_") - 1, F.lit(0))))
+    items = streams.table_stream(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), (F.col("n_nationkey") % 6).cast("int").alias("left_"))
+    return streams.run_loops(Pipeline((step,)).wrap_around(F.col("left_") == 0), items)
+
+
+@query("s07_frozen", "SELECT CAST(w AS INT) AS workers, user_id % 5 AS k, CAST(count(*) AS BIGINT) AS items FROM events, (VALUES (1), (3)) AS t(w) GROUP BY 1, 2")
+def s07(spark: SparkSession, d: str) -> DataFrame:
+    """One graph, run and frozen, then thawed with more workers."""
+    graph = streams.Frozen(Farm(Stage(lambda x: x.groupBy((F.col("user_id") % 5).alias("k")).agg(F.count("*").alias("items"))), 3))
+    made = [graph.run_then_freeze(table(spark, d, "events").select("user_id"), w).select(F.lit(w).alias("workers"), "k", "items") for w in (1, 3)]
+    return made[0].unionByName(made[1])
+
+
+_BATCH = "CAST((event_id - lo) // greatest(1, (hi - lo + 4) // 4) AS INT)"
+
+
+@query(
+    "s08_stream_late",
+    f"WITH b AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events), e AS (SELECT event_id, epoch_us(CAST(ts AS TIMESTAMP)) // 1000000 AS t, {_BATCH} AS batch FROM events, b), "
+    "m AS (SELECT batch, max(t) AS top FROM e GROUP BY batch), w AS (SELECT a.batch, max(m.top) - 86400 AS mark FROM m a JOIN m ON m.batch < a.batch - 1 GROUP BY a.batch), "
+    "k AS (SELECT e.t // 3600 * 3600 AS window_start FROM e LEFT JOIN w USING (batch) WHERE w.mark IS NULL OR e.t // 3600 * 3600 + 3600 > w.mark) "
+    "SELECT CAST(window_start AS BIGINT) AS window_start, CAST(count(*) AS BIGINT) AS n FROM k WHERE window_start + 3600 <= (SELECT max(top) FROM m) - 86400 GROUP BY window_start",
+)
+def s08(spark: SparkSession, d: str) -> DataFrame:
+    """Hours in append mode: rows that come after their hour is closed are dropped, and hours still open are not given."""
+    source = streams.arrivals(table(spark, d, "events").select("event_id", "ts"), "event_id", 4)
+    out = streams.windowed(source, "ts", "1 day", "1 hour", None, [], n=F.count("*"))
+    return streams.drain(out, "append", "late").select(F.unix_timestamp("window_start").alias("window_start"), "n")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ def parallel_for(spark: SparkSession, first: int, last: int, body: dict[str, str
     return indices(spark, first, last, step, grain).withColumns({k: F.expr(v) if isinstance(v, str) else v for k, v in body.items()})
 
 
+def with_thread(df: DataFrame, name: str = "_thid") -> DataFrame:
+    """``df`` with the number of the task that works on the item: which it is says nothing, what is summed over it does."""
+    return df.withColumn(name, F.spark_partition_id())
+
+
 def static_worker(k: Column | str, count: Column | int, workers: int, grain: int = 0) -> Column:
     """The worker of iteration ``k`` of ``count``: contiguous near-equal blocks, or chunk c of ``grain`` to worker c mod n."""
     k = F.col(k) if isinstance(k, str) else k
@@ -70,6 +78,54 @@ def ordered_fold(df: DataFrame, key: str | None, order: str, value: str, start:
     return grouped.agg(F.aggregate(packed, F.expr(start), step, finish).alias(name))
 
 
+def fold_with(df: DataFrame, body: Callable[[tuple, pd.DataFrame], tuple], identity: tuple, final: Callable[[tuple, tuple], tuple], schema: str, fan_in: int = 64) -> DataFrame:
+    """One row: an aggregate that a program defines. Every task starts at ``identity`` and folds its rows with ``body``, an
+    Arrow batch at a time; ``final`` joins partial results, ``fan_in`` tasks' at a time, so none gets them all at once."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = identity
+        for b in batches:
+            state = body(state, b)
+        yield pd.DataFrame([state], columns=names)
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state = identity
+        for b in batches:
+            for row in b.itertuples(index=False, name=None):
+                state = final(state, row)
+        yield pd.DataFrame([state], columns=names)
+
+    out, parts = df.mapInPandas(partial, schema), df.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // fan_in)
+        out = out.coalesce(parts).mapInPandas(join, schema)
+    return out
+
+
+def keyed_scan(df: DataFrame, key: str, order: str, columns: list[str], start: Callable[[], object], step: Callable[[object, tuple], object], schema: str) -> DataFrame:
+    """(key, order, result): an ordered, stateful step over each key's items, for folds that do not commute.
+
+    ``step(state, values)`` changes the state and gives the item's result. Keys are sorted on the JVM, which may spill, and
+    streamed through: memory holds one state, however many items a key has.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(order).alias("ord"), *columns)
+    result = f"{schema.split()[0]} {schema.split()[1]}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for b in batches:
+            out = []
+            for k, *values in b[["key", *columns]].itertuples(index=False, name=None):
+                if state is None or k != now:
+                    now, state = k, start()
+                out.append(step(state, tuple(values)))
+            yield pd.DataFrame({"key": b["key"], "ord": b["ord"], schema.split()[0]: out})
+
+    kinds = dict(rows.dtypes)
+    return rows.repartition("key").sortWithinPartitions("key", "ord").mapInPandas(run, f"key {kinds['key']}, ord {kinds['ord']}, {result}")
+
+
 def last_writer(df: DataFrame, slot: Column | str, value: str, order: str) -> DataFrame:
     """(slot, value): of all writes to a slot the one that comes last in ``order``."""
     slot = F.expr(slot) if isinstance(slot, str) else slot

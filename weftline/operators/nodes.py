@@ -48,6 +48,12 @@ def select_node(on: str, alternatives: Mapping[object, Column], default: object)
     return out.otherwise(alternatives[default])
 
 
+def kernel_measures(df: DataFrame, on: str, alternatives: Mapping[object, Column], default: object) -> DataFrame:
+    """(command, items): how many items each alternative gets; commands that none has count for the ``default`` one."""
+    known = F.col(on).isin([k for k in alternatives])
+    return df.groupBy(F.when(known, F.col(on)).otherwise(F.lit(default)).alias("command")).agg(F.count("*").alias("items"))
+
+
 def with_callbacks(df: DataFrame, name: str, before: Callable[[DataFrame], list[Column]], node: Callable[[DataFrame], DataFrame], after: Callable[[DataFrame], list[Column]]) -> tuple[DataFrame, Observation, Observation]:
     """``node`` with metrics taken of its items as they go in and come out, in the run that an action starts."""
     seen, made = Observation(f"{name}-in"), Observation(f"{name}-out")

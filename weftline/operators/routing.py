@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.nodes import running
+from weftline.operators.nodes import BLOCK_ROWS, epochs, running
 
 
 def round_robin(seq: Column | str, workers: int) -> Column:
@@ -76,6 +76,20 @@ def gather_all(df: DataFrame, channel: str, order: str, value: str, channels: in
     return placed.groupBy("seq").agg(F.array(*cells).alias("items"), sum((x.cast("int") for x in live[1:]), live[0].cast("int")).alias("live"))
 
 
+def managed(df: DataFrame, control: DataFrame, order: str, value: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` with ``control``: the value that the manager's channel, rows of (order, value), sent last before the item; null before its first.
+
+    Messages are counted along the stream in blocks, and the item's count names its message: an equi-join of epochs.
+    """
+    sent = control.select(F.col(order).alias("_at"), F.lit(True).alias("_sent"), F.col(value).alias("_value"))
+    items = df.select(F.col(order).alias("_at"), F.lit(False).alias("_sent"), F.struct(*df.columns).alias("_item"))
+    both = items.unionByName(sent, allowMissingColumns=True).withColumn("_turn", 2 * F.col("_at") + F.when(F.col("_sent"), 0).otherwise(1))
+    counted = epochs(both, F.col("_sent"), "_turn", rows)
+    messages = counted.where("_sent").select((F.col("epoch") + 1).alias("_epoch"), F.col("_value").alias("control"))
+    out = counted.where(~F.col("_sent")).join(messages, F.col("epoch") == F.col("_epoch"), "left")
+    return out.select("_item.*", "control")
+
+
 def ordered(df: DataFrame, seq: str = "seq") -> DataFrame:
     """The farm's output in the order of its input: a range-partitioned sort, so no task sees it all."""
     return df.orderBy(seq)

@@ -61,15 +61,18 @@ def loop(
     reduce_input: bool = False,
     before: Callable[[DataFrame], DataFrame] = lambda g: g,
     after: Callable[[DataFrame], DataFrame] = lambda g: g,
+    start: Callable[[DataFrame], DataFrame] = lambda g: g,
+    end: Callable[[DataFrame], DataFrame] = lambda g: g,
     check_every: int = 8,
 ) -> tuple[DataFrame, object, int]:
     """(grid, reduced value, sweeps): sweeps while fewer than ``most`` are done and ``go_on(value, sweeps)`` holds.
 
     A sweep applies ``before``, computes every cell (those ``within`` only; the others keep the value of the generation
     before the last, as two buffers swap), reduces the output (or, with ``reduce_input``, what it was computed from) and
-    applies ``after``. With ``carry_reduce`` values accumulate over the sweeps; without, each starts at the identity.
+    applies ``after``; ``start`` and ``end`` are applied once, before and after all sweeps. With ``carry_reduce`` values accumulate over the sweeps; without, each starts at the identity.
     The one reduced row is all that comes to the driver. Lineage is cut every ``check_every`` sweeps.
     """
+    grid = start(grid)
     columns, value, done = grid.columns, identity, 0
     older = grid
     while done < most:
@@ -89,7 +92,7 @@ def loop(
         older, grid, done = grid, after(new), done + 1
         if not go_on(value, done):
             break
-    return grid, value, done
+    return end(grid), value, done
 
 
 def life(v: Column, alive: Column) -> Column:

@@ -34,6 +34,12 @@ class Combined:
     first: Node
     second: Node
 
+    def change_first(self, node: Node) -> Combined:
+        return replace(self, first=node)
+
+    def change_last(self, node: Node) -> Combined:
+        return replace(self, second=node)
+
 
 @dataclass(frozen=True)
 class Farm:
@@ -41,12 +47,21 @@ class Farm:
 
     worker: Node
     workers: int
-    emitter: Stage | None = None
-    collector: Stage | None = None
+    emitter: Stage | Combined | None = None
+    collector: Stage | Combined | None = None
     has_collector: bool = True
     ordered: bool = False
     route: Column | None = None
 
+    def change_emitter(self, node: Stage | Combined | None) -> Farm:
+        return replace(self, emitter=node)
+
+    def change_collector(self, node: Stage | Combined | None) -> Farm:
+        return replace(self, collector=node, has_collector=True)
+
+    def change_workers(self, worker: Node, workers: int | None = None) -> Farm:
+        return replace(self, worker=worker, workers=workers or self.workers)
+
 
 @dataclass(frozen=True)
 class AllToAll:
@@ -58,6 +73,12 @@ class AllToAll:
     rights: int
     route: Column | None = None
 
+    def change_firstset(self, left: Node, lefts: int | None = None) -> AllToAll:
+        return replace(self, left=left, lefts=lefts or self.lefts)
+
+    def change_secondset(self, right: Node, rights: int | None = None, route: Column | None = None) -> AllToAll:
+        return replace(self, right=right, rights=rights or self.rights, route=self.route if route is None else route)
+
 
 @dataclass(frozen=True)
 class Pipeline:
@@ -104,7 +125,21 @@ class Selector:
         return replace(self, chosen=k)
 
 
-Node = Stage | Combined | Farm | AllToAll | Pipeline | Selector
+@dataclass(frozen=True)
+class Group:
+    """A name for nodes, one after another, that should run together. It is a hint: results are the same with it and without."""
+
+    name: str
+    nodes: tuple[Node, ...] = field(default=())
+
+    def __lshift__(self, node: Node) -> Group:
+        return replace(self, nodes=(*self.nodes, node))
+
+    def pipeline(self) -> Pipeline:
+        return Pipeline(self.nodes)
+
+
+Node = Stage | Combined | Farm | AllToAll | Pipeline | Selector | Group
 
 
 def outputs(node: Node) -> int:
@@ -118,6 +153,8 @@ def outputs(node: Node) -> int:
             return outputs(node.stages[-1])
         case Selector():
             return outputs(node.alternatives[node.chosen])
+        case Group():
+            return outputs(node.nodes[-1])
         case _:
             return 1
 
@@ -130,6 +167,8 @@ def inputs(node: Node) -> int:
             return inputs(node.stages[0])
         case Selector():
             return inputs(node.alternatives[node.chosen])
+        case Group():
+            return inputs(node.nodes[0])
         case _:
             return 1
 
@@ -140,6 +179,8 @@ def first(node: Node) -> Node:
             return first(node.stages[0])
         case Combined():
             return first(node.first)
+        case Group():
+            return first(node.nodes[0])
         case _:
             return node
 
@@ -150,6 +191,8 @@ def last(node: Node) -> Node:
             return last(node.stages[-1])
         case Combined():
             return last(node.second)
+        case Group():
+            return last(node.nodes[-1])
         case _:
             return node
 
@@ -221,6 +264,8 @@ def validate(node: Node) -> None:
         case Selector():
             for s in node.alternatives:
                 validate(s)
+        case Group():
+            validate(node.pipeline())
 
 
 def _check_feedback(node: Pipeline) -> None:
@@ -244,14 +289,3 @@ def _check_types(a: Node, b: Node) -> None:
         for f in y.takes:
             if given.get(f.name) != f.dataType:
                 raise TypeError(f"{y.name} takes {f.name} {f.dataType.simpleString()}, which {x.name} does not give")
-
-
-@dataclass(frozen=True)
-class Group:
-    """A name for nodes that should run together. It is a hint: results are the same with it and without."""
-
-    name: str
-    nodes: tuple[Node, ...] = field(default=())
-
-    def __lshift__(self, node: Node) -> Group:
-        return replace(self, nodes=(*self.nodes, node))

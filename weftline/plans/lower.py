@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators.iterate import feedback
-from weftline.plans.graph import AllToAll, Combined, Farm, Node, Pipeline, Selector, Stage, validate
+from weftline.plans.graph import AllToAll, Combined, Farm, Group, Node, Pipeline, Selector, Stage, validate
 
 
 def run(node: Node, source: DataFrame) -> DataFrame:
@@ -30,13 +30,15 @@ def _lower(node: Node, df: DataFrame) -> DataFrame:
             return _lower(node.alternatives[node.chosen], df)
         case Farm():
             if node.emitter:
-                df = node.emitter.fn(df)
+                df = _lower(node.emitter, df)
             if node.route is not None:
                 df = df.withColumn("worker", node.route.cast("int")).repartitionById(node.workers, F.col("worker"))
             df = _lower(node.worker, df)
             if node.ordered:
                 df = df.orderBy("seq")
-            return node.collector.fn(df) if node.collector else df
+            return _lower(node.collector, df) if node.collector else df
+        case Group():
+            return _lower(node.pipeline(), df)
         case AllToAll():
             df = _lower(node.left, df)
             if node.route is not None:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import time
+from collections.abc import Callable, Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,6 +79,41 @@ def replay(df: DataFrame, generations: int) -> DataFrame:
     return df.withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(generations - 1))))
 
 
+def replay_for(df: DataFrame, sink: Callable[[DataFrame, int], None], seconds: float, per_second: float | None = None) -> tuple[int, int]:
+    """(passes, items): ``sink(df, pass)`` for whole passes over ``df`` until ``seconds`` have gone by; at least one.
+
+    With ``per_second`` a pass starts no sooner than that rate allows for what was sent before it.
+    """
+    size, began, passes = df.count(), time.monotonic(), 0
+    while True:
+        sink(df, passes)
+        passes += 1
+        if time.monotonic() - began >= seconds:
+            return passes, passes * size
+        if per_second:
+            time.sleep(max(0.0, passes * size / per_second - (time.monotonic() - began)))
+
+
+def invoke(spark: SparkSession, call: Callable[[int, int], tuple | None], schema: str, sources: int = 1, batch: int = 10_000) -> DataFrame:
+    """What nodes without input give: each of ``sources`` tasks calls ``call(source, k)`` with k = 0, 1, ... until it gives None."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for source in b["id"].tolist():
+                rows, k = [], 0
+                while (row := call(source, k)) is not None:
+                    rows.append(row)
+                    k += 1
+                    if len(rows) == batch:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
+
+    return spark.range(0, sources, 1, sources).mapInPandas(run, schema)
+
+
 def road_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments of road lines, prepared as Parquet (cell, road_id, file_order, ord, x1, y1, x2, y2)."""
     schema = T.StructType([T.StructField("cell", T.StringType()), T.StructField("road_id", T.LongType()), T.StructField("file_order", T.IntegerType()), T.StructField("ord", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")]])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.operators.iterate import cut
 from weftline.operators.iterate import shared_folder as checkpoint_folder
 from weftline.plans.graph import Node, Pipeline, TopologyError, validate
 from weftline.plans.lower import run
@@ -95,6 +97,69 @@ def windowed(df: DataFrame, ts: str, late: str, width: str, slide: str | None, k
     return grouped.agg(*[a.alias(n) for n, a in aggregates.items()]).select(F.col("window.start").alias("window_start"), *keys, *aggregates)
 
 
+def sessions(df: DataFrame, ts: str, late: str, gap: str, keys: list[str], **aggregates: Column) -> DataFrame:
+    """Event-time sessions, which ``gap`` without an item ends: (session_start, session_end, keys, aggregates)."""
+    at = df.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    grouped = at.groupBy(F.session_window("_ts", gap), *keys).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return grouped.select(F.col("session_window.start").alias("session_start"), F.col("session_window.end").alias("session_end"), *keys, *aggregates)
+
+
+def run_loops(node: Node, source: DataFrame, label: str = "loops") -> DataFrame:
+    """A graph with feedback over a stream: each batch of items goes round until none is left, then the next one comes.
+
+    A stream itself has no cycles, so the loop runs inside the batch. The rows of all batches are written to the shared
+    folder; a batch that is run again after a failure replaces what it wrote.
+    """
+    out, marks = shared_folder(source.sparkSession, label), shared_folder(source.sparkSession, f"{label}-marks")
+    schemas: list[T.StructType] = []
+
+    def write(batch: DataFrame, k: int) -> None:
+        made = run(node, batch)
+        schemas.append(made.schema)
+        made.write.mode("overwrite").parquet(f"{out}/{k}")
+
+    source.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    if not schemas:
+        return run(node, source.sparkSession.createDataFrame([], source.schema))
+    return source.sparkSession.read.schema(schemas[0]).parquet(f"{out}/*")
+
+
+def arrivals(df: DataFrame, order: str, batches: int, label: str = "arrivals") -> DataFrame:
+    """``df`` as a stream of ``batches`` batches in the order of ``order``, as a log that comes in: a file each, one at a time."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, label)
+    lo, hi = df.agg(F.min(order), F.max(order)).first()
+    width = max(1, -(-(int(hi or 0) - int(lo or 0) + 1) // batches))
+    for k in range(batches):  # one after another, as files are read by the time they were written
+        part = df.where((F.col(order) >= (lo or 0) + k * width) & (F.col(order) < (lo or 0) + (k + 1) * width))
+        part.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+class Frozen:
+    """A graph that is run, then rests until it is run again on more input, with as many workers as that time asks for.
+
+    Results are the same for any number of workers.
+    """
+
+    def __init__(self, node: Node) -> None:
+        validate(node)
+        self.node, self.runs = node, 0
+
+    def run_then_freeze(self, source: DataFrame, workers: int | None = None) -> DataFrame:
+        """The results over ``source``, computed when this returns."""
+        spark, name = source.sparkSession, "spark.sql.shuffle.partitions"
+        old = spark.conf.get(name)
+        try:
+            if workers:
+                spark.conf.set(name, str(workers))
+            self.runs += 1
+            return cut(run(self.node, source))
+        finally:
+            spark.conf.set(name, old)
+
+
 class Accelerator:
     """A graph that a program feeds item by item, and whose results it loads as they come.
 
