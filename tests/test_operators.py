@@ -5,13 +5,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.apps.traffic import RoadSpeed, speeds
+from weftline.apps.traffic import RoadSpeed, grid, match, recent_average, speeds
 from weftline.operators import iterate, loops, nodes, routing, stencil
 from weftline.operators.tasks import TaskGraph
 from weftline.plans.graph import AllToAll, Combined, Farm, Group, Pipeline, Selector, Stage, TopologyError, connection, validate
 from weftline.plans.lower import run
-from weftline.plans.rewrite import combine, optimise
-from weftline.sources.readers import generate, incomplete, records, text_file_lines
+from weftline.plans.rewrite import combine, combine_farms, combine_ordered, optimise
+from weftline.sources.readers import generate, incomplete, records, replay_for, text_file_lines
 from weftline.streaming.queries import Accelerator, check_streamable
 
 IDENTITY = Stage(lambda x: x)
@@ -19,7 +19,7 @@ MULTI = Stage(lambda x: x, multi_in=True, multi_out=True)
 
 
 def values(df, *columns):
-    return sorted(map(tuple, df.select(*columns).collect()))
+    return sorted(map(tuple, df.select(*columns).collect()), key=lambda r: [(v is not None, v) for v in r])
 
 
 def test_generator_with_condition_and_without_items(spark):
@@ -207,3 +207,97 @@ def test_speed_reference_by_hand():
         s = RoadSpeed(2, corrected)
         assert [s.add(x) for x in (10.0, 20.0, 30.0)] == [10.0, 15.0, 25.0]
         assert s.squares == squares and list(s.speeds) == [20.0, 30.0]
+
+
+def test_running_sums_in_blocks_are_those_of_one_window(spark):
+    r = random.Random(2)
+    rows = [(k * 3 + r.randint(0, 2), r.choice(["a", "a", "a", "b", None]), r.randint(-5, 5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "at long, key string, v long").repartition(3)
+    for size in (1, 7, 1000):
+        want, seen, total = [], {}, {}
+        for at, key, v in sorted(rows):
+            seen[key], total[key] = seen.get(key, 0) + 1, total.get(key, 0) + v
+            want.append((at, seen[key], total[key]))
+        assert values(nodes.running(df, "key", "at", size, n=F.lit(1), total=F.col("v")), "at", "n", "total") == sorted(want)
+        last = values(recent_average(df.where("key = 'a'"), "key", "at", "v", 4, size + 3), "at", "avg_recent")
+        only = [(at, v) for at, key, v in sorted(rows) if key == "a"]
+        assert last == [(at, pytest.approx(sum(x for _, x in only[max(0, k - 3) : k + 1]) / len(only[max(0, k - 3) : k + 1]))) for k, (at, _) in enumerate(only)]
+    assert nodes.running(df.limit(0), "key", "at", n=F.lit(1)).count() == 0
+
+
+def test_control_messages_hold_from_their_place_on(spark):
+    control = spark.createDataFrame([(3, 10), (7, 20)], "at long, x long")
+    got = values(routing.managed(spark.range(10).select(F.col("id").alias("at"), (F.col("id") * 2).alias("v")), control, "at", "x", rows=2), "at", "v", "control")
+    assert {a: (v, c) for a, v, c in got} == {k: (2 * k, None if k < 3 else 10 if k < 7 else 20) for k in range(10)}
+
+
+def test_farms_are_combined_in_eight_ways_with_one_result(spark):
+    add = lambda n: Stage(lambda x: x.withColumn("id", F.col("id") + n))
+    times = Stage(lambda x: x.withColumn("id", F.col("id") * 3))
+    for merge in (False, True):
+        for n1, n2 in ((None, None), (add(1), None), (None, times), (add(1), times)):
+            for workers in (2, 3):
+                a, b = Farm(add(5), 2), Farm(times, workers)
+                made = combine_farms(a, n1, n2, b, merge)
+                plain = Pipeline((a.worker, *[n for n in (n1, n2) if n], b.worker))
+                validate(made)
+                assert values(run(made, spark.range(20)), "id") == values(run(plain, spark.range(20)), "id")
+                assert len(made.stages) == (2 if merge and (n1 or n2) else 1)
+                if merge and not n1 and not n2:
+                    assert isinstance(made.stages[0], Farm if workers == 2 else AllToAll)
+    kept = combine_ordered(Farm(IDENTITY, 2, ordered=True), Farm(times, 3, emitter=add(1)))
+    assert [s.collector is not None for s in kept.stages] == [True, False] and kept.stages[1].emitter is None
+    out = [r.id for r in run(kept, spark.range(10).withColumn("seq", F.col("id"))).collect()]
+    assert sorted(out) == [3 * (k + 1) for k in range(10)]
+    with pytest.raises(ValueError):
+        combine_ordered(Farm(IDENTITY, 2), Farm(IDENTITY, 2))
+
+
+def test_graphs_are_edited_before_they_run(spark):
+    plus = Stage(lambda x: x.withColumn("id", F.col("id") + 1))
+    farm = Farm(IDENTITY, 2).change_workers(plus, 5).change_emitter(plus).change_collector(plus)
+    assert farm.workers == 5 and values(run(farm, spark.range(2)), "id") == [(3,), (4,)]
+    a2a = AllToAll(IDENTITY, 1, IDENTITY, 2).change_firstset(plus).change_secondset(plus, 4)
+    assert a2a.rights == 4 and values(run(a2a, spark.range(1)), "id") == [(2,)]
+    assert values(run(Combined(IDENTITY, IDENTITY).change_first(plus).change_last(plus), spark.range(1)), "id") == [(2,)]
+    assert values(run(Pipeline((Group("g") << plus << plus, plus)), spark.range(1)), "id") == [(3,)]
+
+
+def test_ordered_state_of_a_key_is_streamed(spark):
+    def step(state: list, row: tuple) -> int:
+        state[0] = (state[0] * 31 + row[0]) % 1_000_003
+        return state[0]
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"), (F.col("id") * 7).alias("v")).repartition(4)
+    got = {(r.key, r.ord): r.out for r in loops.keyed_scan(df, "k", "at", ["v"], lambda: [7], step, "out long").collect()}
+    for k in range(3):
+        state = [7]
+        for at in range(k, 500, 3):
+            assert got[k, at] == step(state, (at * 7,))
+
+
+def test_replay_ends_with_a_whole_pass(spark):
+    seen = []
+    passes, items = replay_for(spark.range(5), lambda df, k: seen.append((k, df.count())), 0.5, per_second=50)
+    assert passes >= 2 and items == 5 * passes and seen == [(k, 5) for k in range(passes)]
+
+
+def test_points_meet_the_segments_near_them(spark):
+    r = random.Random(6)
+    roads = [(k, k, 0, *(round(116.3 + r.uniform(-0.004, 0.004), 6) if c in "x" else round(39.9 + r.uniform(-0.004, 0.004), 6) for c in "xyxy")) for k in range(60)]
+    roads += [(60, 60, 0, 116.3, 39.9, 116.3, 39.906), (61, 61, 0, 116.3, 39.9, 116.3, 39.9), (62, 62, 0, 116.296, 39.9, 116.305, 39.9)]
+    points = [(k, 116.3 + r.uniform(-0.004, 0.004), 39.9 + r.uniform(-0.004, 0.004)) for k in range(400)]
+    segments = spark.createDataFrame(roads, "road_id long, file_order int, ord int, x1 double, y1 double, x2 double, y2 double")
+    got = {x.event_id: x.road_id for x in match(spark.createDataFrame(points, "event_id long, longitude double, latitude double"), grid(segments, drop_first=False)).collect()}
+    cell = lambda x, y: (round(y * 10), round(x * 10))
+
+    def distance(x, y, x1, y1, x2, y2):
+        size = (x2 - x1) ** 2 + (y2 - y1) ** 2
+        t = min(1, max(0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / size)) if size else 0
+        return ((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2) ** 0.5 * 111200
+
+    for k, x, y in points:
+        near = [(distance(x, y, *s[3:]), s[0]) for s in roads if cell(x, y) == cell((s[3] + s[5]) / 2, (s[4] + s[6]) / 2)]
+        near = [n for n in near if n[0] < 5 * 5**0.5]
+        on = [i for d, i in near if d < 2.5]
+        assert got[k] == (min(on) if on else min(near)[1] if near else -1)

@@ -11,11 +11,11 @@ from weftline.apps import traffic, wordcount
 from weftline.functions import geo
 from weftline.functions.text import space_tokens
 from weftline.operators import arrays, iterate, loops, nodes, routing, stencil
-from weftline.operators.tasks import TaskGraph, run_tasks
-from weftline.plans.graph import AllToAll, Farm, Pipeline, Stage
+from weftline.operators.tasks import AsyncKernel, TaskGraph, run_tasks
+from weftline.plans.graph import AllToAll, Farm, Pipeline, Stage, kernel
 from weftline.plans.lower import run
 from weftline.plans.rewrite import optimise
-from weftline.sources.readers import count_sink, generate, invoke, records, replay, replay_for, table
+from weftline.sources.readers import count_sink, generate, invoke, records, replay, replay_for, road_segments, table
 from weftline.streaming import queries as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,30 @@ def q18(spark: SparkSession, d: str) -> DataFrame:
     return out.select("seq", *[F.col("items")[k].alias(c) for k, c in enumerate("abc")], "live")
 
 
+@query("q66_route_hash", "SELECT event_type, CAST(1 AS BIGINT) AS workers, CAST(count(*) AS BIGINT) AS items FROM events GROUP BY event_type")
+def q66(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that are no numbers: each key's items meet at one worker."""
+    e = routing.route(table(spark, d, "events").select("event_type"), routing.by_key("event_type", 6), 6)
+    return e.groupBy("event_type").agg(F.count_distinct("worker").alias("workers"), F.count("*").alias("items"))
+
+
+@query("q67_multicast", "SELECT CAST(w AS INT) AS worker, CAST(count(*) AS BIGINT) AS items, CAST(sum(event_id) AS BIGINT) AS total FROM (SELECT event_id, unnest([user_id % 2, 2 + user_id % 3]) AS w FROM events) GROUP BY w")
+def q67(spark: SparkSession, d: str) -> DataFrame:
+    e = routing.multicast(table(spark, d, "events").select("event_id", "user_id"), F.array((F.col("user_id") % 2).cast("int"), (2 + F.col("user_id") % 3).cast("int")))
+    return e.groupBy("worker").agg(F.count("*").alias("items"), F.sum("event_id").alias("total"))
+
+
+@query("q69_kernel_forms", "SELECT f AS form, CAST(count(*) AS BIGINT) AS items, CAST(sum(2 * user_id + 1) AS BIGINT) AS total FROM events, (VALUES ('pipe'), ('farm'), ('ordered')) AS t(f) GROUP BY f")
+def q69(spark: SparkSession, d: str) -> DataFrame:
+    """One kernel in three forms, started without waiting for each other."""
+    stages = (Stage(lambda x: x.withColumn("v", 2 * F.col("user_id"))), Stage(lambda x: x.withColumn("v", F.col("v") + 1)))
+    e = table(spark, d, "events").select(F.col("event_id").alias("seq"), "user_id")
+    with AsyncKernel(lambda form: run(kernel(form, *stages, workers=3), e).agg(F.count("*").alias("items"), F.sum("v").alias("total")).first()) as k:
+        started = {form: k.submit(form) for form in ("pipe", "farm", "ordered")}
+        made = [(form, f.result()["items"], f.result()["total"]) for form, f in started.items()]
+    return spark.createDataFrame(made, "form string, items long, total long")
+
+
 @query("q54_farm_rewrite", "SELECT event_id, user_id + 1 AS a, (user_id + 1) * 3 AS b FROM events WHERE user_id % 2 = 0")
 def q54(spark: SparkSession, d: str) -> DataFrame:
     graph = Pipeline((Farm(Stage(lambda x: x.select("event_id", "user_id")), 4), Farm(Stage(lambda x: x.where("user_id % 2 = 0").withColumn("a", F.col("user_id") + 1)), 4), Farm(Stage(lambda x: x.select("event_id", "a", (F.col("a") * 3).alias("b"))), 2)))
@@ -561,6 +585,14 @@ def _speed_sql(window: int) -> str:
           CASE WHEN len(r.q) > {window} - 1 THEN r.total - r.q[1] ELSE r.total END AS total, r.squares, r.average FROM r JOIN e ON e.key = r.key AND e.k = r.k + 1)))))"""
 
 
+@query("q68_road_source", f"WITH {_ROADS} SELECT cell, CAST(count(*) AS BIGINT) AS segments, CAST(sum(r) AS BIGINT) AS roads FROM s GROUP BY cell")
+def q68(spark: SparkSession, d: str) -> DataFrame:
+    """Prepared segments: written once, with their cells, and read as the road source."""
+    folder = streams.shared_folder(spark, "roads")
+    traffic.grid(_segments(spark)).select("cell", "road_id", "file_order", "ord", "x1", "y1", "x2", "y2").write.parquet(folder)
+    return road_segments(spark, folder).groupBy("cell").agg(F.count("*").alias("segments"), F.sum("road_id").alias("roads"))
+
+
 @query("q50_speed_reference", f"WITH RECURSIVE e AS (SELECT CAST(user_id AS BIGINT) AS key, CAST(event_id AS BIGINT) AS ord, CAST(value AS DOUBLE) AS speed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), {_speed_sql(50)} SELECT key, ord, average FROM r")
 def q50(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", F.col("user_id").alias("road_id"), F.col("value").alias("speed"))

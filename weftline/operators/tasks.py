@@ -88,3 +88,19 @@ def run_tasks(tasks: list[Callable[[], object]], workers: int = 4) -> list[objec
     """Results of independent tasks (Spark actions), in the order given; all have ended when it returns."""
     with ThreadPoolExecutor(workers) as pool:
         return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
+class AsyncKernel:
+    """A kernel whose calls return at once: ``submit`` starts an action (with any arguments) and gives its Future."""
+
+    def __init__(self, action: Callable[..., object], workers: int = 2) -> None:
+        self.action, self.pool = action, ThreadPoolExecutor(workers)
+
+    def submit(self, *arguments: object) -> Future:
+        return self.pool.submit(self.action, *arguments)
+
+    def __enter__(self) -> AsyncKernel:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.pool.shutdown()

@@ -142,6 +142,18 @@ class Group:
 Node = Stage | Combined | Farm | AllToAll | Pipeline | Selector | Group
 
 
+def kernel(form: str, *stages: Stage, workers: int = 1) -> Node:
+    """The stages as one kernel: a ``pipe``, or a ``farm`` or ``ordered`` farm whose workers run them one after another."""
+    if form == "pipe":
+        return Pipeline(stages)
+    worker: Node = stages[0]
+    for s in stages[1:]:
+        worker = Combined(worker, s)
+    if form not in ("farm", "ordered"):
+        raise ValueError(form)
+    return Farm(worker, workers, ordered=form == "ordered")
+
+
 def outputs(node: Node) -> int:
     """How many channels a node's results leave by."""
     match node:
