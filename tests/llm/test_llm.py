@@ -751,11 +751,42 @@ def test_token_counts_of_documents(docs):
     assert sorted(r.n_tokens for r in got.collect()) == sorted(len(t.encode(d.text or "", add_special_tokens=False).ids) for d in docs.collect())
 
 
-def test_flat_files_are_read_in_blocks(spark, tmp_path):
-    for k in range(3):
-        (tmp_path / f"{k}.bin").write_bytes(np.array([5, 6, 0, 7, 0] * (k + 1), "<u2").tobytes())
-    got = separators.count_tokens(separators.read_blocks(spark, str(tmp_path), block_bytes=6), end_id=0)
-    assert sorted(r.n_tokens for r in got.collect()) == sorted([2, 1] * 6)
+def test_flat_files_are_split_by_byte_range(spark, tmp_path):
+    r = random.Random(19)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for width, pool in ((">u2", [49792, 10, 2570, 0xC2, 0x80C2, 0xC280, 0xEFBB, 7]), ("<u2", [0, 10, 2560, 0x0A0A, 0x00C2, 5]), ("<u4", [50257, 10, 0x0A000000, 0x51C4, 0xC4510000, 1])):
+            folder, want, end = tmp_path / width.strip("<>") / width[0].replace("<", "l").replace(">", "b"), collections.Counter(), pool[0]
+            folder.mkdir(parents=True)
+            for f in range(9):
+                ids = [r.choice(pool) for _ in range(r.choice([0, 1, 2, 3, 40, 300]))]
+                if f == 5:
+                    ids = [0xEFBB, 0xBF0A, *ids] if width == ">u2" else ids
+                if f == 6:
+                    ids = [7 if width != "<u2" else 5] * 400  # no line feed anywhere
+                raw = np.array(ids, width).tobytes() + (b"\x07" if f == 7 else b"")
+                (folder / f"{f}.bin").write_bytes(raw)
+                start = no = 0
+                for k, i in enumerate(ids):
+                    if i == end:
+                        want[f"{f}.bin", no, start, k - start, True] += 1
+                        start, no = k + 1, no + 1
+                if start < len(ids):
+                    want[f"{f}.bin", no, start, len(ids) - start, False] += 1
+            for split, chunk in (("200", 1 << 20), ("1000", 16)) if width == ">u2" else (("300", 64),):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+                got = separators.count_files(spark, str(folder), end, width, chunk).collect()
+                assert collections.Counter((x.file.split("/")[-1], x.doc_no, x.start, x.n_tokens, x.closed) for x in got) == want, (width, split)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_token_counts_name_their_documents(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    t = tokens()
+    got = separators.op9_separators(spark, str(tmp_path)).collect()
+    assert collections.Counter((x.doc_id, x.n_tokens) for x in got) == collections.Counter((d.doc_id, len(t.encode(d.text or "", add_special_tokens=False).ids)) for d in docs.collect())
+    assert separators.count_documents(spark.read.parquet(str(tmp_path / "documents.parquet")).limit(0), str(tmp_path / "none")).count() == 0
 
 
 # --- 10
