@@ -10,10 +10,14 @@ from weftline.operators.nodes import order_block
 from weftline.sources.readers import text_lines
 
 
-def words(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, line, pos, word): the words of all non-empty lines, cut to the greatest length of a word."""
-    lines = text_lines(docs, text, key)
-    return lines.select("key", "line", F.posexplode(space_tokens("text_line")).alias("pos", "word")).withColumn("word", cut_word("word"))
+#: Fixed value: bytes that a line takes in the stream, whatever its length.
+LINE_BYTES = 152
+
+
+def words(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, line, pos, word): the words of all non-empty lines, cut to the greatest length of a word."""
+    lines = text_lines(docs, text, key, carry=carry)
+    return lines.select("key", *carry, "line", F.posexplode(space_tokens("text_line")).alias("pos", "word")).withColumn("word", cut_word("word"))
 
 
 def totals(docs: DataFrame) -> DataFrame:
@@ -22,24 +26,25 @@ def totals(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(tokens).alias("word")).groupBy(cut_word("word").alias("word")).agg(F.count("*").alias("cnt"))
 
 
-def running(docs: DataFrame, block_docs: int = 20_000) -> DataFrame:
-    """(doc_id, line, pos, word, id): the running count of every word, in the order of the text.
+def running(docs: DataFrame, block_docs: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, line, pos, word, id): the running count of every word, in the order of the text, with what lines ``carry``
+    (a time stamp, say).
 
     A word may be a large share of all words. Each is numbered within blocks of about ``block_docs`` documents and a block
     starts from the word's counts in those before it. Words are split and shuffled once: both levels read one exchange.
     """
-    found = words(docs).withColumn("_block", order_block(docs.select(F.col("doc_id").alias("key")), "key", block_docs))
+    found = words(docs, carry=carry).withColumn("_block", order_block(docs.select(F.col("doc_id").alias("key")), "key", block_docs))
     group = Window.partitionBy("word", "_block")
     placed = found.withColumns({"_row": F.row_number().over(group.orderBy("key", "line", "pos")), "_n": F.count(F.lit(1)).over(group)})
     before = Window.partitionBy("_word").orderBy("_bl").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.where("_row = 1").select(F.col("word").alias("_word"), F.col("_block").alias("_bl"), "_n")
     begins = counts.select("_word", "_bl", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
     joined = placed.join(begins, (F.col("word") == F.col("_word")) & (F.col("_block") == F.col("_bl")))
-    return joined.select(F.col("key").alias("doc_id"), "line", "pos", "word", (F.col("_begin") + F.col("_row")).alias("id"))
+    return joined.select(F.col("key").alias("doc_id"), "line", "pos", "word", *carry, (F.col("_begin") + F.col("_row")).alias("id"))
 
 
 def summary(docs: DataFrame) -> DataFrame:
-    """One row: words, unique (different words) and total_lines."""
+    """One row: words, unique (different words), total_lines and total_bytes (of lines as the stream holds them)."""
     lines = text_lines(docs, "text", "doc_id")
     counted = totals(docs).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("words"), F.count("*").alias("unique"))
-    return counted.crossJoin(F.broadcast(lines.agg(F.count("*").alias("total_lines"))))
+    return counted.crossJoin(F.broadcast(lines.agg(F.count("*").alias("total_lines"), (F.count("*") * LINE_BYTES).alias("total_bytes"))))

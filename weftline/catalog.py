@@ -50,11 +50,18 @@ def q02(spark: SparkSession, d: str) -> DataFrame:
     return wordcount.running(table(spark, d, "documents"))
 
 
-@query("q03_wordcount_totals", f'WITH {TOKENS} SELECT CAST((SELECT count(*) FROM tokens) AS BIGINT) AS words, CAST((SELECT count(DISTINCT word) FROM tokens) AS BIGINT) AS "unique", CAST((SELECT count(*) FROM lines) AS BIGINT) AS total_lines')
+@query("q03_wordcount_totals", f'WITH {TOKENS} SELECT CAST((SELECT count(*) FROM tokens) AS BIGINT) AS words, CAST((SELECT count(DISTINCT word) FROM tokens) AS BIGINT) AS "unique", CAST((SELECT count(*) FROM lines) AS BIGINT) AS total_lines, CAST((SELECT 152 * count(*) FROM lines) AS BIGINT) AS total_bytes')
 def q03(spark: SparkSession, d: str) -> DataFrame:
     return wordcount.summary(table(spark, d, "documents"))
 
 
+@query("q70_wordcount_stamped", f"WITH {TOKENS}, s AS (SELECT doc_id AS d, max(n_chars) AS ts FROM documents GROUP BY doc_id) SELECT word, CAST(id AS BIGINT) AS id, CAST(ts AS BIGINT) AS ts FROM (SELECT word, row_number() OVER (PARTITION BY word ORDER BY doc_id, line, pos) AS id, ts FROM tokens JOIN s ON d = doc_id) WHERE id <= 3")
+def q70(spark: SparkSession, d: str) -> DataFrame:
+    """The first three occurrences of each word with the stamp that its line carries (the length of its document)."""
+    docs = table(spark, d, "documents").withColumn("ts", F.col("n_chars").cast("long"))
+    return wordcount.running(docs, carry=("ts",)).where("id <= 3").select("word", "id", "ts")
+
+
 # --- sources and single items
 
 

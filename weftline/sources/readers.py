@@ -32,9 +32,9 @@ def generate(spark: SparkSession, start: int, more: Callable[[int], bool] | None
     return spark.range(count).select((F.col("id") * step + start).alias(name), F.col("id").alias("seq"))
 
 
-def text_lines(df: DataFrame, text: str, key: str, max_line: int | None = None) -> DataFrame:
-    """(key, line, text_line): the non-empty lines of each text, numbered from 0 within it; with ``max_line``, no longer ones."""
-    lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text), "\n")).alias("line", "text_line")).where(F.length("text_line") > 0)
+def text_lines(df: DataFrame, text: str, key: str, max_line: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, line, text_line): the non-empty lines of each text, numbered from 0 within it; with ``max_line``, no longer ones."""
+    lines = df.select(F.col(key).alias("key"), *carry, F.posexplode(F.split(F.col(text), "\n")).alias("line", "text_line")).where(F.length("text_line") > 0)
     return lines.where(F.length("text_line") <= max_line) if max_line else lines
 
 
