@@ -722,6 +722,53 @@ def test_near_copies_match_brute_force(spark):
     assert {(x.doc_id is None, x.doc_id or 0, x.text or "") for x in got} == want and len(got) == len(want)
 
 
+def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
+    from weftline.llm import near_copies
+
+    r = random.Random(6)
+    base, rows = ["w" + str(k) for k in range(150)], []
+    for k in range(220):  # some of a similarity over 0.8, most below it
+        words = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 4, 5])):
+            words[r.randrange(10, len(words))] = f"new{r.randint(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    group = list(range(len(rows)))
+    for i, j in near:
+        a, b = group[i], group[j]
+        group = [b if g == a else g for g in group]
+    sizes, stored = collections.Counter(), near_copies.stored
+
+    def counted(df, label):
+        out = stored(df, label)
+        sizes[label] += out.count() if "pairs" in label else 0
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    got = near_copies.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    of = {x.doc_id: x.root for x in got}
+    assert all((of[i] == of[j]) == (group[i] == group[j]) for i in of for j in of) and len(of) == len(rows)
+    assert 1 < len(set(group)) < len(rows) and len(near) > 10 * len(rows)
+    assert max(sizes.values()) <= 5 * len(rows), sizes
+
+
+def test_near_copies_leave_no_large_tables_behind(spark):
+    import os
+
+    from weftline.llm import near_copies
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old, root = spark.conf.get(key), common.scratch_root(spark).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    text = lambda k: " ".join(f"w{k}-{i}" for i in range(30))
+    rows = [(k, text(k // 2) + (" more" if k % 2 else "")) for k in range(40)]
+    found = near_copies.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = {x.rsplit("-", 5)[0] if x.count("-") > 4 else x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert not left & {"sets", "distinct-sets", "sketches", "candidates", "members", "compared", "rows"}, left
+    assert sorted(x.doc_id for x in found.collect()) == list(range(0, 40, 2)) and spark.conf.get(key) == old
+
+
 # --- 9
 
 
