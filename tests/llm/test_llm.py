@@ -722,6 +722,34 @@ def test_near_copies_match_brute_force(spark):
     assert {(x.doc_id is None, x.doc_id or 0, x.text or "") for x in got} == want and len(got) == len(want)
 
 
+def test_near_copies_are_proposed_by_the_byte_position_index(spark, monkeypatch):
+    from weftline.llm import near_copies
+
+    r = random.Random(5)
+    texts = [" ".join(r.choice("abcdefgh") + str(r.randint(0, 9)) for _ in range(r.choice([40, 400]))) for _ in range(12)]
+    texts += [t.rsplit(" ", k)[0] for t in texts for k in (1, 2, 3)] + [""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = near_copies.stored(near_copies._sets(docs, 5, np.zeros(0, np.int64)).dropDuplicates(["key"]), "sets")
+    rows = [(x.key, x.fp) for x in sets.where("n > 0").collect()]
+    for x in sets.collect():  # the fingerprint is the majority over the set's hashes
+        hashes = near_copies.shingles(next(t for k, t in enumerate(texts) if k == x.doc_id).encode(), 5).view(np.uint64)
+        assert x.fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+
+    def groups(pairs):
+        of = {k: k for k, _ in rows}
+        for a, b in pairs:
+            a, b = of[a], of[b]
+            of = {k: b if v == a else v for k, v in of.items()}
+        return {frozenset(k for k in of if of[k] == v) for v in of.values()}
+
+    want = groups((a, b) for a, x in rows for b, y in rows if bin((x ^ y) & (2**64 - 1)).count("1") <= 2)
+    assert groups((x.a, x.b) for x in near_copies._proposed(sets).collect()) == want and len(want) < len(rows)
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, *a: asked.append(distinct.count()) or links(distinct, *a))
+    near_copies.keep_one_similar(docs).collect()
+    assert asked == [len({f for _, f in rows})]
+
+
 def test_large_groups_of_near_copies_make_few_pairs(spark, monkeypatch):
     from weftline.llm import near_copies
 

@@ -1,4 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a set similarity join by prefix filtering.
+"""Near-duplicates by SimHash and exact Jaccard similarity of word shingles.
+
+Every set of shingles gets a SimHash fingerprint. The byte-position index with count filtering (``simhash.links``) proposes
+pairs of fingerprints within two bits, and the sets behind them are compared in full. Two sets of a similarity of 0.8 differ
+in some ten of 64 bits, where no number of shared bytes is guaranteed, so what the index cannot propose comes from an exact
+set similarity join by prefix filtering.
 
 Under any one order of all shingles, two sets of a similarity of 0.8 or more share a shingle among the first fifth (and
 one) of each. Only these prefixes are dealt out by shingle; sets that meet are then compared in full, so no pair of that
@@ -138,6 +143,19 @@ def _fits(na, nb, ra, rb):
     return (under * na >= over * nb) & (under * nb >= over * na) & ((over + under) * ra >= need) & ((over + under) * rb >= need)
 
 
+def _proposed(sets: DataFrame) -> DataFrame:
+    """(a, b): pairs a > b of sets whose fingerprints the byte-position index links, enough to connect all that it connects."""
+    first = stored(sets.where("n > 0").groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
+    found = stored(simhash.links(first.select("fp")), "linked")
+    x, y = (first.select(F.col("fp").alias(k), F.col("first").alias(f"first_{k}")) for k in "ab")
+    linked = found.join(x, "a").join(y, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    equal = sets.where("n > 0").join(first, "fp").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    both = equal.unionByName(linked).where("a <> b")
+    out = stored(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "proposed")
+    dropped(first, found)
+    return out
+
+
 def _in_lists(fn: Callable[[list[np.ndarray]], list[np.ndarray]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: ``fn`` over the columns of each list of two members or more; the first column, sorted, names the list.
 
@@ -277,7 +295,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int)
 def similar_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, text_hash, root) for each row: rows share a root if a chain of similar sets, or of equal ones, joins them.
 
-    A first round compares one pair of short lists a set and a few pairs of
+    A first round compares the pairs that the byte-position index proposes, one pair of short lists a set and a few pairs of
     long lists a set. A second one compares all pairs of lists that are left between the components of the first.
     """
     every = stored(_sets(docs, shingle, _common(docs, shingle)), "sets")
@@ -291,8 +309,9 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     members = met.where("a = b").select("h", F.col("a").alias("key"), "n", "rest")
     members = stored(members.join(sets.select("key", "fp", "sketch"), "key"), "members")
     dropped(met)
+    proposed = _proposed(sets)
     one = pairs.groupBy("a").agg(F.min("b").alias("b"))
-    few = one.unionByName(_beside(members.withColumn("root", F.col("key")))).distinct()
+    few = proposed.unionByName(one).unionByName(_beside(members.withColumn("root", F.col("key")))).distinct()
     first = stored(_may_match(few, sets), "first-pairs")
     edges = _verified(first, docs, sets, shingle)
     roots = components(edges)
@@ -301,7 +320,7 @@ def similar_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rooted = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rest = _may_match(short, sets).unionByName(_between(rooted)).distinct().join(first, ["a", "b"], "left_anti")
     rest = stored(rest, "rest-pairs")
-    dropped(members, pairs)
+    dropped(members, pairs, proposed)
     if not rest.isEmpty():
         roots = components(edges.unionByName(_verified(rest, docs, sets, shingle)))
     # texts with one set may be a third of all rows
