@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.apps import wordcount
 from weftline.apps.traffic import RoadSpeed, grid, match, recent_average, speeds
 from weftline.operators import iterate, loops, nodes, routing, stencil
 from weftline.operators.tasks import TaskGraph
@@ -225,6 +226,57 @@ def test_running_sums_in_blocks_are_those_of_one_window(spark):
     assert nodes.running(df.limit(0), "key", "at", n=F.lit(1)).count() == 0
 
 
+def test_even_blocks_follow_the_order_and_the_weight_however_they_are_spread(spark):
+    r = random.Random(4)
+    at = [*range(300), *(10**12 + 7 * k for k in range(300)), *[5] * 20, *[None] * 3]
+    rows = [(k, x, r.randint(1, 40) if x is not None and x < 300 else 400) for k, x in enumerate(at)]
+    df = spark.createDataFrame(rows, "id long, at long, w long").repartition(3)
+    block, blocks = nodes.even_blocks(df, "at", F.col("w"), 4000)
+    got = {i: b for i, b in values(df.select("id", block.alias("b")), "id", "b")}
+    placed = sorted((x is None, x or 0, got[k]) for k, x, _ in rows)
+    assert [b for *_, b in placed] == sorted(got.values()) and {*got.values()} == {*range(blocks)}
+    assert len({(x, b) for _, x, b in placed}) == len({(n, x) for n, x, _ in placed})
+    assert 20 <= blocks <= 40 and max(sum(w for k, _, w in rows if got[k] == b) for b in range(blocks)) <= 2 * 4000
+    assert nodes.even_blocks(df.limit(0), "at", F.col("w"), 10)[1] == nodes.even_blocks(df.where("at IS NULL"), "at", F.col("w"), 10)[1] == 1
+
+
+def shuffled_rows(df) -> int:
+    """Rows that all exchanges of ``df``, which has run, have written."""
+    seen, total, todo = set(), 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec" and plan.id() not in seen:
+            seen.add(plan.id())
+            total += plan.metrics().apply("shuffleRecordsWritten").value()
+        inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+        todo += inner or [plan.children().apply(k) for k in range(plan.children().size())]
+    return total
+
+
+def test_running_word_counts_shuffle_texts_and_counts_of_blocks_but_not_words(spark):
+    r = random.Random(3)
+    ids = [*range(40), *(10**15 + k for k in range(40)), None]
+    docs = [(k, "\n".join(" ".join(r.choices(["the", "a", "b\tc", "x" * 40, "", f"w{k}"], [9, 3, 1, 1, 1, 1], k=r.randint(0, 60))) for _ in range(r.randint(1, 4))), k and k % 7) for k in ids]
+    docs.append((-3, None, 1))
+    want, seen = [], {}
+    for at, text, ts in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
+        for line, words in enumerate((text or "").split("\n")):
+            for pos, word in enumerate(w[:31] for w in words.split(" ") if w):
+                seen[word] = seen.get(word, 0) + 1
+                want.append((at, line, pos, word, ts, seen[word]))
+    df = spark.createDataFrame(docs, "doc_id long, text string, ts long").repartition(4)
+    for size in (300, 5000, 1 << 30):
+        out = wordcount.running(df, size, carry=("ts",))
+        got = [tuple(x) for x in out.collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        assert out.columns == ["doc_id", "line", "pos", "word", "ts", "id"]
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.lit("the cat and the dog and the cat " * 20).alias("text"))
+    got = wordcount.running(docs)
+    assert got.count() == len(got.collect()) == 200 * 160
+    assert 2 * 200 <= shuffled_rows(got) < 200 * 160 / 10  # texts twice, and a row for each block and word
+
+
 def test_control_messages_hold_from_their_place_on(spark):
     control = spark.createDataFrame([(3, 10), (7, 20)], "at long, x long")
     got = values(routing.managed(spark.range(10).select(F.col("id").alias("at"), (F.col("id") * 2).alias("v")), control, "at", "x", rows=2), "at", "v", "control")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import cut_word, space_tokens
-from weftline.operators.nodes import order_block
+from weftline.operators.nodes import even_blocks
 from weftline.sources.readers import text_lines
 
 
 #: Fixed value: bytes that a line takes in the stream, whatever its length.
 LINE_BYTES = 152
+#: Bytes of text whose words one task sorts: some 2.5 million words of 130 bytes.
+BLOCK_BYTES = 16 << 20
 
 
 def words(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -26,21 +28,25 @@ def totals(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(tokens).alias("word")).groupBy(cut_word("word").alias("word")).agg(F.count("*").alias("cnt"))
 
 
-def running(docs: DataFrame, block_docs: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def running(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, line, pos, word, id): the running count of every word, in the order of the text, with what lines ``carry``
     (a time stamp, say).
 
-    A word may be a large share of all words. Each is numbered within blocks of about ``block_docs`` documents and a block
-    starts from the word's counts in those before it. Words are split and shuffled once: both levels read one exchange.
+    Texts are shuffled, not words: each block, a range of documents with about ``block_bytes`` of text, is one task, which
+    splits its texts. A first pass counts a block's words; how often a word occurs in the blocks before one is sent to it
+    as a text of that one word, and comes first when the block's words are numbered. A word may be a large share of all.
     """
-    found = words(docs, carry=carry).withColumn("_block", order_block(docs.select(F.col("doc_id").alias("key")), "key", block_docs))
-    group = Window.partitionBy("word", "_block")
-    placed = found.withColumns({"_row": F.row_number().over(group.orderBy("key", "line", "pos")), "_n": F.count(F.lit(1)).over(group)})
-    before = Window.partitionBy("_word").orderBy("_bl").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.where("_row = 1").select(F.col("word").alias("_word"), F.col("_block").alias("_bl"), "_n")
-    begins = counts.select("_word", "_bl", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    joined = placed.join(begins, (F.col("word") == F.col("_word")) & (F.col("_block") == F.col("_bl")))
-    return joined.select(F.col("key").alias("doc_id"), "line", "pos", "word", *carry, (F.col("_begin") + F.col("_row")).alias("id"))
+    held = docs.select(F.col("doc_id").alias("key"), *carry, "text")
+    block, blocks = even_blocks(held, "key", F.octet_length("text"), block_bytes)
+    placed = held.withColumn("_block", block)
+    counts = words(placed.repartitionById(blocks, F.col("_block")), key="key", carry=("_block",)).groupBy("_block", "word").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("word").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("_block", F.col("word").alias("text"), F.sum("_n").over(before).alias("_begin")).where("_begin > 0")
+    both = placed.withColumn("_begin", F.lit(None).cast("long")).unionByName(begins, allowMissingColumns=True).repartitionById(blocks, F.col("_block"))
+    group = Window.partitionBy("word", "_block").orderBy(F.desc_nulls_last("_begin"), F.asc_nulls_last("key"), "line", "pos")
+    so_far = F.sum(F.coalesce("_begin", F.lit(1))).over(group.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = words(both, key="key", carry=(*carry, "_block", "_begin")).withColumn("id", so_far).where("_begin IS NULL")
+    return numbered.select(F.col("key").alias("doc_id"), "line", "pos", "word", *carry, "id")
 
 
 def summary(docs: DataFrame) -> DataFrame:

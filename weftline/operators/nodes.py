@@ -83,6 +83,27 @@ def order_block(df: DataFrame, order: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor((F.col(order) - F.lit(lo)) / F.lit(width)).cast("long")
 
 
+def even_blocks(df: DataFrame, order: str, weight: Column, size: int, least: int = 1 << 20) -> tuple[Column, int]:
+    """The block of an item, numbered from 0, and how many blocks there are: ranges of ``order`` with about ``size`` of
+    ``weight`` each, however ``order`` is spread. Items of one order share a block, and those without come last.
+
+    A small input is cut for all cores, but not below ``least`` of ``weight``. The bounds are approximate percentiles,
+    for which an item counts by its weight; they get to the driver.
+    """
+    heavy = F.coalesce(weight, F.lit(0))
+    n, total = df.agg(F.count(order), F.coalesce(F.sum(heavy), F.lit(0))).first()
+    blocks = min(n, max(-(-total // size), min(df.sparkSession.sparkContext.defaultParallelism, total // least)))
+    if blocks < 2:
+        return F.lit(0), 1
+    copies = (F.floor(heavy / F.lit(max(1, total // (4 * n)))) + 1).cast("int")
+    drawn = df.select(F.col(order).alias("_at"), F.explode(F.array_repeat(F.lit(0), copies)))
+    ends = sorted(set(drawn.agg(F.percentile_approx("_at", [k / blocks for k in range(1, blocks)], 20 * blocks)).first()[0]))
+    held = F.array(*map(F.lit, ends))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(ends).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(held, at + step - 1) < F.col(order), at + step).otherwise(at))
+    return F.when(F.col(order).isNull(), len(ends)).otherwise(below), len(ends) + 1
+
+
 def running(df: DataFrame, key: Column | str | None, order: str, rows: int = BLOCK_ROWS, **values: Column) -> DataFrame:
     """``df`` with a running sum of each of ``values`` over the key's items in ``order``, this one included.
 
