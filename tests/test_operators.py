@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.apps import wordcount
 from weftline.apps.traffic import RoadSpeed, grid, match, recent_average, speeds
+from weftline.catalog import QUERIES
 from weftline.operators import iterate, loops, nodes, routing, stencil
 from weftline.operators.tasks import TaskGraph
 from weftline.plans.graph import AllToAll, Combined, Farm, Group, Pipeline, Selector, Stage, TopologyError, connection, validate
@@ -277,6 +278,14 @@ def test_running_word_counts_shuffle_texts_and_counts_of_blocks_but_not_words(sp
     assert 2 * 200 <= shuffled_rows(got) < 200 * 160 / 10  # texts twice, and a row for each block and word
 
 
+def test_stamped_word_count_shuffles_no_row_for_each_word(spark, tmp_path):
+    docs = spark.range(200).select((F.col("id") * 3).alias("doc_id"), F.lit("the cat and the dog and the cat " * 20).alias("text"), (F.col("id") + 7).alias("n_chars"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["q70_wordcount_stamped"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted((w, k, 7) for w in ("the", "cat", "and", "dog") for k in (1, 2, 3))
+    assert 2 * 200 <= shuffled_rows(got) < 200 * 160 / 10
+
+
 def test_control_messages_hold_from_their_place_on(spark):
     control = spark.createDataFrame([(3, 10), (7, 20)], "at long, x long")
     got = values(routing.managed(spark.range(10).select(F.col("id").alias("at"), (F.col("id") * 2).alias("v")), control, "at", "x", rows=2), "at", "v", "control")
